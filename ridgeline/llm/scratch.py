@@ -1,0 +1,84 @@
+"""Working tables in the shared folder of the session, and connected components on them."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where it is unset (tests), a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    if at is None:
+        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="ridgeline-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(at)
+    return at
+
+
+class Scratch:
+    """Tables that outlive one job: written as Parquet, so that a lost executor costs nothing.
+
+    ``drop`` removes one that no later step reads.  The last tables of an operator stay, as its
+    lazy result reads them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{folder(spark).rstrip('/')}/ridgeline-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def keep(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
+        self.n += 1
+        path = f"{self.root}/{self.n}"
+        df.write.option("compression", codec).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._ridgeline_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = getattr(df, "_ridgeline_path", None)
+        if path:
+            jvm = self.spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    def sweep(self) -> None:
+        """Lets Spark's cleaner remove shuffle files of finished steps: it acts on collected garbage."""
+        import gc
+
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
+def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Connected components of links (a long, b long) as (node, component): the smallest node reachable.
+
+    Alternates large-star and small-star steps (Kiveris et al. 2014), each a shuffle or two over
+    links, until nothing changes.  Every round replaces links by as many at most.
+    """
+    def both(x: DataFrame) -> DataFrame:
+        return x.unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    now = scratch.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
+    while True:
+        around = both(now)
+        low = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = around.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        after = scratch.keep(small)
+        scratch.drop(now)
+        now = after
+        got = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.col("b").cast("decimal(38,0)"))).first())
+        if mark == got:
+            break
+        mark = got
+    heads = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads)
