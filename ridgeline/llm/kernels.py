@@ -122,6 +122,19 @@ class Words:
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends)
         self.first = np.searchsorted(self.start, offs)
 
+    def flat(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words, each followed by one space, and where each begins (with the total at the end)."""
+        lens = self.end - self.start + 1
+        total = np.concatenate([[0], np.cumsum(lens)])
+        out = np.full(int(total[-1]), 32, np.uint8)
+        body = np.ones(len(out), bool)
+        body[total[1:] - 1] = False
+        flow = np.zeros(len(buf) + 1, np.int8)
+        np.add.at(flow, self.start, 1)
+        np.add.at(flow, self.end, -1)
+        out[body] = buf[np.cumsum(flow[:-1], dtype=np.int8) > 0]
+        return out, total
+
 
 def splits(offs: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Ranges of whole documents of about that many bytes, one document at least."""

@@ -15,6 +15,18 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir)).drop("removed")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import simhash
+
+    return simhash.cluster(documents(spark, sf_dir))
+
+
+def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import debruijn
+
+    return debruijn.report(documents(spark, sf_dir)).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op7_simhash, op8_debruijn)}
 
 ORACLES: dict[str, str] = {}
