@@ -22,7 +22,7 @@ from ridgeline.llm.kernels import arrow_texts, splits
 from ridgeline.llm.scratch import Scratch
 
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 5 << 20
 LEAST = np.iinfo(np.int64).min
 
 
@@ -54,7 +54,7 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
         for lo, hi in splits(offs, most):
             part = batch.slice(lo, hi - lo)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], schema=part.schema))
             yield pa.RecordBatch.from_arrays([pa.array([int(offs[hi] - offs[lo])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n_bytes", "packed"])
 
@@ -65,7 +65,7 @@ class Corpus:
     def __init__(self, docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES):
         self.schema, self.scratch = docs.schema, scratch
         made = docs.mapInArrow(lambda it: pack_blocks(it, block_bytes), "n_bytes long, packed binary")
-        self.blocks = scratch.keep(made.select(F.monotonically_increasing_id().alias("block"), "n_bytes", "packed"))
+        self.blocks = scratch.keep(made.select(F.monotonically_increasing_id().alias("block"), "n_bytes", "packed"), "none")
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(parts, math.ceil(total / bucket_bytes))

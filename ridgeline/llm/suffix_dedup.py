@@ -193,9 +193,12 @@ def repeated(x: dict[str, np.ndarray], width: int) -> np.ndarray:
     if not len(reps):
         return masks
     off, key, m = x["off"][reps].astype(np.int64), x["key"][reps], len(reps)
-    at = begin[reps] + off
-    right, rl = suffix_sort(x["text"], at, span[reps] - off, key)
-    left, ll = suffix_sort(x["text"][::-1], len(x["text"]) - at, off, key)
+    ends = np.cumsum(span[reps])
+    own = ends - span[reps]
+    text = x["text"][np.repeat(begin[reps] - own, span[reps]) + np.arange(ends[-1])]
+    at = own + off
+    right, rl = suffix_sort(text, at, span[reps] - off, key)
+    left, ll = suffix_sort(text[::-1], len(text) - at, off, key)
     found = np.zeros(m, U64)
     for o in range(int(off.max()) + 1):
         have = np.flatnonzero((o <= off) & (o > off - n[reps]))
