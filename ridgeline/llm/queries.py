@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ridgeline.llm import mixing
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -15,6 +17,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(documents(spark, sf_dir)).drop("removed")
 
 
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import packing
+
+    return packing.pack(documents(spark, sf_dir), with_ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import simhash
 
@@ -27,6 +39,6 @@ def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.report(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op7_simhash, op8_debruijn)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op6_packing, op7_simhash, op8_debruijn)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL}
