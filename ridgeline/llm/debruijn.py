@@ -198,7 +198,9 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT
 
     serve = lambda kind, payloads: answer(kind, payloads, hot)
     flags = corpus.ask(keys, serve)
+    scratch.sweep()
     pieces = corpus.ask(lambda b, r: question(b, r, buckets, width, gram), serve, flags)
+    scratch.sweep()
     return corpus.finish(each, flags.unionByName(pieces), "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,words:long,source_doc:long,source_start:long>>")
 
 

@@ -100,9 +100,7 @@ class Corpus:
 
         kind = "block long, kind int, bucket int, payload binary"
         asked = self.with_replies(replies).mapInArrow(send, kind)
-        out = self.scratch.keep(asked.groupBy("bucket").applyInArrow(serve, kind))
-        self.scratch.sweep()
-        return out
+        return self.scratch.keep(asked.groupBy("bucket").applyInArrow(serve, kind))
 
     def finish(self, each: Callable[[Block, list], pa.RecordBatch], replies: DataFrame | None, schema) -> DataFrame:
         def run(batches):

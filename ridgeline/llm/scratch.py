@@ -51,7 +51,7 @@ class Scratch:
         """Lets Spark's cleaner remove shuffle files of finished steps: it acts on collected garbage."""
         import gc
 
-        gc.collect()
+        gc.collect()  # the Python side holds what it names of a finished step
         self.spark._jvm.System.gc()
 
 

@@ -268,7 +268,9 @@ def mark(docs: DataFrame, scratch: Scratch, each, schema, width: int = WIDTH, gr
 
     serve = lambda kind, payloads: answer(kind, payloads, width, hot)
     flags = corpus.ask(keys, serve)
+    scratch.sweep()
     found = corpus.ask(lambda b, r: question(b, r, buckets, width, gram), serve, flags)
+    scratch.sweep()
     return corpus.finish(lambda b, r: each(b, covered(b, r, buckets, width, gram)), flags.unionByName(found), schema)
 
 
