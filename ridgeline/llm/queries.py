@@ -39,6 +39,12 @@ def op8_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.report(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op6_packing, op7_simhash, op8_debruijn)}
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import flac
+
+    return flac.digest(flac.media(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op6_packing, op7_simhash, op8_debruijn, op9_flac)}
 
 ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL}
