@@ -21,6 +21,13 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import quality
+
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import packing
 
@@ -45,6 +52,12 @@ def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(flac.media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op6_packing, op7_simhash, op8_debruijn, op9_flac)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import langid
+
+    return langid.evaluate(documents(spark, sf_dir)).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op3_quality, op6_packing, op7_simhash, op8_debruijn, op9_flac, op10_langid)}
 
 ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL}
