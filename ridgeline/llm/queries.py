@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import mixing
+from ridgeline.llm import licenses, mixing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ridgeline.llm import fingerprints
+
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ridgeline.llm import packing
 
@@ -58,6 +68,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.evaluate(documents(spark, sf_dir)).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op3_quality, op6_packing, op7_simhash, op8_debruijn, op9_flac, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op3_quality, op4_licenses, op5_fingerprints, op6_packing, op7_simhash, op8_debruijn, op9_flac, op10_langid)}
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL}
+ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL, "op4_licenses": licenses.sql()}

@@ -50,9 +50,12 @@ class Scratch:
     def sweep(self) -> None:
         """Lets Spark's cleaner remove shuffle files of finished steps: it acts on collected garbage."""
         import gc
+        import time
 
-        gc.collect()  # the Python side holds what it names of a finished step
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first one frees lets go of the rest
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def components(spark: SparkSession, links: DataFrame, scratch: Scratch) -> DataFrame:
