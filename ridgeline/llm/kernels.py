@@ -130,8 +130,8 @@ class Words:
         body = np.ones(len(out), bool)
         body[total[1:] - 1] = False
         flow = np.zeros(len(buf) + 1, np.int8)
-        np.add.at(flow, self.start, 1)
-        np.add.at(flow, self.end, -1)
+        flow[self.start] += 1
+        flow[self.end] -= 1
         out[body] = buf[np.cumsum(flow[:-1], dtype=np.int8) > 0]
         return out, total
 

@@ -9,7 +9,7 @@ what is over is cut off before and stored in sequences whose length is a power o
 need no padding.  If a window exceeds the capacity nevertheless, the window count rises.
 
 Words are tokenised once a worker: the tokenizer drops white space and no token spans it, so a
-text's ids are those of its words.  sequence_id is (partition, sequence in it).  Null text is empty
+text's ids are those of its words, in small letters and apart from marks that end them.  sequence_id is (partition, sequence in it).  Null text is empty
 and gives the final id alone; rows with equal doc_id are packed each; an empty table gives none.
 """
 
@@ -19,16 +19,18 @@ import heapq
 import os
 import zlib
 from bisect import insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ridgeline.llm.kernels import Words, arrow_texts, splits
+from ridgeline.llm.kernels import PrefixHash, Words, arrow_texts, byte_codes, mix, same_bytes, splits
 
 CAPACITY, END, GROUP = 4096, 2, 2 << 20
 KNOWN_WORDS = 1_000_000
+CODES = byte_codes(61)
 
 
 class WordIds(dict):
@@ -39,6 +41,7 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer)
+        self.final = {i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")}
         self.forget()
 
     def forget(self):
@@ -56,30 +59,76 @@ class WordIds(dict):
         if len(self) > KNOWN_WORDS:
             self.forget()
         w = Words(buf, offs)
-        flat, _ = w.flat(buf)
-        words = flat.tobytes().split(b" ")[:-1] if len(flat) else []
-        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        for lo in range(0, len(self.new), 4096):
-            for enc in self.tokenizer.encode_batch([x.decode() for x in self.new[lo : lo + 4096]], add_special_tokens=False):
-                self.add(enc.ids)
-        self.new = []
-        numbers = np.insert(numbers, w.first[1:], 0)
+        if b"<" not in buf.tobytes():  # special tokens are cased
+            buf = buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
+        split_marks(w, buf, offs)
+        # Words of equal hash are compared with the first of them; the dictionary is asked once for each.
+        lens = w.end - w.start
+        _, some, which = np.unique(mix(PrefixHash(CODES[buf]).span(w.start, w.end) + lens.astype(np.uint64)), return_index=True, return_inverse=True)
+        if not ((lens == lens[some][which]).all() and same_bytes(buf, w.start, buf, w.start[some][which], lens).all()):
+            some = which = np.arange(len(lens))
+        data = buf.tobytes()
+        own = [self[data[a:b]] for a, b in zip(w.start[some].tolist(), w.end[some].tolist(), strict=True)]
+        self.learn()
+        numbers = np.insert(np.array(own, np.int64)[which], w.first[1:], 0)
         end = self.ends[numbers]
         begin = np.where(numbers > 0, self.ends[numbers - 1], 0)
         n = end - begin
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.ids[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        ids = self.ids[np.repeat((begin - total[:-1]).astype(np.int32), n) + np.arange(total[-1], dtype=np.int32)]
         return ids, total[w.first + np.arange(len(offs))]
 
-    def add(self, ids: list[int]) -> None:
-        at, stop = int(self.ends[self.used - 1]), int(self.ends[self.used - 1]) + len(ids)
-        if stop > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-        if self.used == len(self.ends):
+    def learn(self) -> None:
+        """Tokenises the words that are new: words of letters many at a time, as each ends with its one token that ends a word."""
+        texts = [x.decode() for x in self.new]
+        rows: list = [None] * len(texts)
+        plain = [k for k, x in enumerate(texts) if x.isalpha() and x.lower().isalpha()]
+        for lo in range(0, len(plain), 8192):
+            part = plain[lo : lo + 8192]
+            groups = [part[k : k + 64] for k in range(0, len(part), 64)]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+                ids = e.ids
+                cut = [k + 1 for k, x in enumerate(ids) if x in self.final]
+                if len(cut) == len(group) and cut[-1] == len(ids):
+                    for k, a, b in zip(group, [0, *cut[:-1]], cut, strict=True):
+                        rows[k] = ids[a:b]
+        rest = [k for k, x in enumerate(rows) if x is None]
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([texts[k] for k in part], add_special_tokens=False), strict=True):
+                rows[k] = e.ids
+        if rows:
+            self.add(rows)
+        self.new = []
+
+    def add(self, rows: list[list[int]]) -> None:
+        ends = self.ends[self.used - 1] + np.cumsum([len(x) for x in rows])
+        begin, stop = int(self.ends[self.used - 1]), int(ends[-1])
+        while stop > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint32)])
+        while self.used + len(rows) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.ids[at:stop] = ids
-        self.ends[self.used] = stop
-        self.used += 1
+        self.ids[begin:stop] = np.fromiter(chain.from_iterable(rows), np.uint32, stop - begin)
+        self.ends[self.used : self.used + len(rows)] = ends
+        self.used += len(rows)
+
+
+_MARK, _SOLID = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True
+_SOLID[48:58] = _SOLID[65:91] = _SOLID[97:123] = True
+
+
+def split_marks(w: Words, buf: np.ndarray, offs: np.ndarray) -> None:
+    """Makes marks at the end of a word a word of their own where an ASCII letter or digit precedes them.
+
+    The tokenizer never joins the two, so ids stay the same and fewer words differ.
+    """
+    if not len(w.start):
+        return
+    last = np.maximum.accumulate(np.where(_MARK[buf], 0, np.arange(len(buf), dtype=np.int32)))[w.end - 1]
+    cut = last[(last >= w.start) & (last < w.end - 1) & _SOLID[buf[last]]] + 1
+    w.start, w.end = np.sort(np.concatenate([w.start, cut])), np.sort(np.concatenate([w.end, cut]))
+    w.first = np.searchsorted(w.start, offs)
 
 
 def differencing(sizes: list[int], q: int) -> list[list[int]]:
@@ -201,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, g
         for batch in batches:
             buf, offs = arrow_texts(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for lo, hi in splits(offs, 1 << 20):
+            for lo, hi in splits(offs, 4 << 20):
                 got, at = known.encode(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 ids += [got[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 doc_ids += keys[lo:hi]

@@ -49,7 +49,7 @@ def check(rows, pieces, cap=4096):
 
 def test_round_trip(spark):
     r = random.Random(3)
-    odd = ["Äpfel x", "can't", "<|endoftext|>", "!!..", "日本", "é", "　a", "1234", "ΣΑΣ", "\x85b", "don’t\x1cstop"]
+    odd = ["(x)-y.", "a.b,", "A!!", "é.", "x…", "it's.", "U.S.A.", "3.5%", "don't!", "a_", "b|", "…!", "Äpfel x", "can't", "<|endoftext|>", "!!..", "日本", "é", "　a", "1234", "ΣΑΣ", "\x85b", "don’t\x1cstop"]
     make = lambda n: " ".join(r.choice(odd) if r.random() < 0.1 else "w" + str(r.randrange(10**4)) for _ in range(n))
     rows = [(i, make(int(r.paretovariate(0.8) * 20) % 4000)) for i in range(300)] + [(400, None), (401, ""), (402, " \n "), (403, make(9000))]
     df = spark.createDataFrame([(i, t, 0) for i, t in rows], KIND).repartition(1)
