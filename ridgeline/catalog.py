@@ -177,9 +177,12 @@ def cost_normalised(spark, sf_dir):
     return panels.cost_normalised(priced(spark, sf_dir, "tobler")).select(*PX, rounded("cost_norm"))
 
 
-@query("hillshade", o.chain(4, "", f"SELECT map_id, y, x, {o.r(f'greatest(0.0::DOUBLE, least(1.0::DOUBLE, (-3.0::DOUBLE * dz_dx * (cos(radians(-225.0::DOUBLE)) * cos(radians(45.0::DOUBLE))) - 3.0::DOUBLE * dz_dy * (sin(radians(-225.0::DOUBLE)) * cos(radians(45.0::DOUBLE))) + sin(radians(45.0::DOUBLE))) / sqrt(1.0::DOUBLE + 9.0::DOUBLE * dz_dx * dz_dx + 9.0::DOUBLE * dz_dy * dz_dy)))', 'shade')} FROM gr"))
+_LIGHT = "(-6.0::DOUBLE * dz_dx * (cos(radians(-225.0::DOUBLE)) * cos(radians(45.0::DOUBLE))) + 6.0::DOUBLE * dz_dy * (sin(radians(-225.0::DOUBLE)) * cos(radians(45.0::DOUBLE))) + sin(radians(45.0::DOUBLE))) / sqrt(1.0::DOUBLE + 36.0::DOUBLE * dz_dx * dz_dx + 36.0::DOUBLE * dz_dy * dz_dy)"
+
+
+@query("hillshade", o.chain(4, f"li AS (SELECT map_id, y, x, {_LIGHT} AS l FROM gr), lr AS (SELECT map_id, min(l) AS a, max(l) AS b FROM li GROUP BY map_id)", f"SELECT map_id, y, x, {o.r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN b - a > 1e-6 THEN (l - a) / (b - a) ELSE l END))', 'shade')} FROM li JOIN lr USING (map_id)"))
 def hillshade(spark, sf_dir):
-    return fields.hillshade(fields.gradient(heights(spark, sf_dir), CFG)).select(*PX, rounded("shade"))
+    return fields.hillshade(fields.gradient(heights(spark, sf_dir), CFG), CFG).select(*PX, rounded("shade"))
 
 
 @query("curvature_panel", o.chain(6, "", f"SELECT map_id, y, x, {o.r('greatest(-0.02, least(0.02, h_curv))', 'h_shown')} FROM cu"))
@@ -483,12 +486,6 @@ def self_test(spark, sf_dir):
     return synth.self_test(spark)
 
 
-@query("analyze_features")
-def analyze_features(spark, sf_dir):
-    t = relations.analyze(grids.hills(spark, sf_dir), CFG)
-    return t.features.select("map_id", "seq", "feature_id", "feature_type", "cx", "cy", rounded("elev_max"), rounded("confidence"), "watershed_id", describe(CFG).alias("description"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest strict maxima of the smoothed hills by local relief."""
     df = fields.prominence(heights(spark, sf_dir), CFG)

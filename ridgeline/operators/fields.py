@@ -204,13 +204,16 @@ def cost(df: DataFrame, cfg: Config = Config(), function: str | None = None, uni
     return df.withColumn("cost", F.greatest(c, F.lit(0.1)))
 
 
-def hillshade(df: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 3.0) -> DataFrame:
-    """Adds shade, 0 to 1: light from the azimuth at the altitude on the exaggerated surface."""
-    az, alt = math.radians(90 - azimuth), math.radians(altitude)
-    x, y = -exaggeration * F.col("dz_dx"), exaggeration * F.col("dz_dy")
-    n = F.sqrt(1.0 + x * x + y * y)
-    light = (x * (math.cos(az) * math.cos(alt)) + y * (math.sin(az) * math.cos(alt)) + math.sin(alt)) / n
-    return df.withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), light)))
+def hillshade(df: DataFrame, cfg: Config = Config(), azimuth: float = 315.0, altitude: float = 45.0, exaggeration: float = 3.0) -> DataFrame:
+    """Adds shade, 0 to 1 over each map: light from the azimuth at the altitude on the exaggerated surface, in pixels."""
+    az, alt, e = math.radians(90 - azimuth), math.radians(altitude), exaggeration * cfg.horizontal_scale
+    x, y = -e * F.col("dz_dx"), e * F.col("dz_dy")
+    light = (x * (math.cos(az) * math.cos(alt)) + y * (math.sin(az) * math.cos(alt)) + math.sin(alt)) / F.sqrt(1.0 + x * x + y * y)
+    df = df.withColumn("_l", light)
+    by = df.groupBy("map_id").agg(F.min("_l").alias("_a"), F.max("_l").alias("_b"))
+    spread = F.col("_b") - F.col("_a")
+    shade = F.when(spread > 1e-6, (F.col("_l") - F.col("_a")) / spread).otherwise(F.col("_l"))
+    return df.join(by, "map_id").withColumn("shade", F.greatest(F.lit(0.0), F.least(F.lit(1.0), shade))).drop("_l", "_a", "_b")
 
 
 def traversability(slope: Column, cfg: Config = Config()) -> Column:
