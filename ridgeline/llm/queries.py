@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeline.llm import licenses, mixing
+from ridgeline.llm import licenses, mixing, oracles
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pareto_mix, op3_quality, op4_licenses, op5_fingerprints, op6_packing, op7_simhash, op8_debruijn, op9_flac, op10_langid)}
 
-ORACLES: dict[str, str] = {"op2_pareto_mix": mixing.SQL, "op4_licenses": licenses.sql()}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.SUFFIX, "op2_pareto_mix": mixing.SQL, "op4_licenses": licenses.sql(), "op8_debruijn": oracles.DEBRUIJN}
