@@ -276,7 +276,8 @@ def dedup(docs: DataFrame, **kw) -> DataFrame:
     found = scratch.keep(cluster(docs, **kw).select("doc_id", "component_id"))
     n = found.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count("*").alias("all")).first()
     go = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(go, "doc_id", "left_anti")
+    # The list grows with the input: it is merged at every size, never broadcast.
+    kept = docs.join(go.hint("merge"), "doc_id", "left_anti")
     if n.ids < n.n:
         kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
     return kept
