@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from ridgeline.llm.kernels import PrefixHash, Words, arrow_texts, byte_codes, mix, same_bytes, splits
 
 CAPACITY, END, GROUP = 4096, 2, 2 << 20
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 300_000
 CODES = byte_codes(61)
 
 
@@ -250,7 +250,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = True, g
         for batch in batches:
             buf, offs = arrow_texts(batch.column(1))
             keys = batch.column(0).to_pylist()
-            for lo, hi in splits(offs, 4 << 20):
+            for lo, hi in splits(offs, 3 << 19):
                 got, at = known.encode(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 ids += [got[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 doc_ids += keys[lo:hi]
