@@ -218,7 +218,7 @@ def d8_direction(spark, sf_dir):
     return drained(spark, sf_dir).select(*PX, "d8")
 
 
-@query("d8_accumulation", o.flow(o.ACC, "SELECT map_id, id // 1048576 AS y, id % 1048576 AS x, count(*) AS acc FROM ac GROUP BY map_id, id"))
+@query("d8_accumulation", o.flow(o.ACC, "SELECT map_id, id // 4294967296 AS y, id % 4294967296 AS x, count(*) AS acc FROM ac GROUP BY map_id, id"))
 def d8_accumulation(spark, sf_dir):
     return flow.accumulation(drained(spark, sf_dir)).select("map_id", F.col("y").cast("long"), F.col("x").cast("long"), "acc")
 
@@ -243,7 +243,7 @@ def top_basins(spark, sf_dir):
     return panels.top_basins(flow.watersheds(drained(spark, sf_dir)), 12, 10).select("map_id", F.col("label").cast("long"), "pixels", F.col("place").cast("long"))
 
 
-@query("stream_mask", o.flow(o.ACC, "SELECT map_id, id // 1048576 AS y, id % 1048576 AS x FROM ac GROUP BY map_id, id HAVING count(*) >= 10"))
+@query("stream_mask", o.flow(o.ACC, "SELECT map_id, id // 4294967296 AS y, id % 4294967296 AS x FROM ac GROUP BY map_id, id HAVING count(*) >= 10"))
 def stream_mask(spark, sf_dir):
     return flow.stream_mask(flow.accumulation(drained(spark, sf_dir)), 10).select("map_id", F.col("y").cast("long"), F.col("x").cast("long"))
 

@@ -14,7 +14,7 @@ from ridgeline.config import Config
 from ridgeline.operators import kernels
 from ridgeline.operators.fields import blur, box, k_confidence, prominence
 from ridgeline.operators.flow import accumulation
-from ridgeline.operators.graphs import at_least, components, radius_join, settle, suppress
+from ridgeline.operators.graphs import at_least, components, pixel_id, radius_join, settle, suppress
 
 TYPES = ("peak", "ridge", "valley", "saddle", "flat_zone")
 EXTRA = {
@@ -106,7 +106,7 @@ def saddles(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     m, edge = cfg.border_margin_px, Window.partitionBy("map_id")
     px = k_confidence(df).withColumn("_w", F.max("x").over(edge)).withColumn("_h", F.max("y").over(edge))
     px = px.filter((F.col("curvature_type") == "SADDLE") & F.col("x").between(F.lit(m), F.col("_w") - m) & F.col("y").between(F.lit(m), F.col("_h") - m) & (F.col("z") > cfg.sea_level_offset + 1.0))
-    px = settle(px.select("map_id", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("id"), "x", "y", F.abs("k_curv").alias("strength"), "k_confidence", "z", "slope"))
+    px = settle(px.select("map_id", pixel_id().alias("id"), "x", "y", F.abs("k_curv").alias("strength"), "k_confidence", "z", "slope"))
     kept = px.join(suppress(px, cfg.nms_radius_px), ["map_id", "id"]).filter((F.col("strength") >= cfg.saddle_k_min_threshold) & (F.col("k_confidence") >= cfg.saddle_confidence_threshold))
     return kept.select("map_id", F.col("id").alias("label"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("elev_min"), F.col("z").alias("elev_max"), F.col("k_confidence").alias("confidence"), F.col("slope").alias("avg_slope"), F.col("z").alias("saddle_elevation_m"), F.col("strength").alias("k_curvature"))
 

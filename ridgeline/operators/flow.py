@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.config import Config
 from ridgeline.operators.fields import along
-from ridgeline.operators.graphs import accumulate, nearest, roots
+from ridgeline.operators.graphs import accumulate, nearest, pixel_id, roots
 
 #: Codes 1 to 8 clockwise from east, as (dx, dy) with y down.
 D8 = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
@@ -23,10 +23,6 @@ def encode(dx: Column, dy: Column) -> Column:
     return out.otherwise(0)
 
 
-def pixel_id(x="x", y="y") -> Column:
-    return F.col(y).cast("long") * (1 << 20) + F.col(x)
-
-
 def directions(df: DataFrame, z: str = "z") -> DataFrame:
     """Adds d8: the code of the steepest drop to a neighbour, the first of equals, 0 without a drop."""
     wx, wy = along("x"), along("y")

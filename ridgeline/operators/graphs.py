@@ -1,43 +1,54 @@
 """Iterations on tables: pointer jumping, components, closures, suppression and spatial joins.
 
-Each loop halves what is left to do or stops when nothing changes, and checkpoints every round.
+Each loop halves what is left to do or stops when nothing changes.  A round's table is written and read
+back (see ``sources.scratch``), so that neither lineage nor size estimates grow, and older rounds are removed.
 """
 
 from __future__ import annotations
 
-import tempfile
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.sources.scratch import Scratch
+from ridgeline.sources.scratch import components as star_components
+
+#: Width of a tile of pixels, and the step of pixel ids from one line to the next.
+TILE, LINE = 512, 1 << 32
+
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder (a temporary one where none is set)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ridgeline-"))
-    return df.checkpoint()
+def pixel_id(x="x", y="y") -> Column:
+    return F.col(y).cast("long") * LINE + F.col(x)
+
+
+def settle(df: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The table, written to the session's shared folder and read back."""
+    return (scratch or Scratch(df.sparkSession)).keep(df)
 
 
 def roots(links: DataFrame, most: int = 64) -> DataFrame:
     """links: map_id, id, next (null at a root) -> map_id, id, root, by pointer jumping; a cycle's members keep null."""
-    now = settle(links.select("map_id", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNull().alias("done")))
+    scratch = Scratch(links.sparkSession)
+    now = scratch.keep(links.select("map_id", "id", F.coalesce("next", "id").alias("to"), F.col("next").isNull().alias("done")))
+    left = now.filter("not done").count()
     for _ in range(most):
-        if now.filter("not done").isEmpty():
+        if not left:
             break
         ahead = now.select("map_id", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("done").alias("done2"))
-        after = settle(now.join(ahead, ["map_id", "to"]).select("map_id", "id", F.col("to2").alias("to"), (F.col("done") | F.col("done2")).alias("done")))
-        same = after.filter("not done").count() == now.filter("not done").count()
-        now = after
-        if same:  # what is left leads into a cycle
+        after = scratch.keep(now.join(ahead, ["map_id", "to"]).select("map_id", "id", F.col("to2").alias("to"), (F.col("done") | F.col("done2")).alias("done")))
+        scratch.drop(now)
+        now, before = after, left
+        left = now.filter("not done").count()
+        if left == before:  # what is left leads into a cycle
             break
     return now.select("map_id", "id", F.when(F.col("done"), F.col("to")).alias("root"))
 
 
 def accumulate(links: DataFrame, most: int = 40) -> DataFrame:
     """links (map_id, id, next), acyclic -> map_id, id, acc: nodes that flow through each, itself counted, by doubling."""
-    now = settle(links.select("map_id", "id", F.col("next").alias("to"), F.lit(1).cast("long").alias("acc")))
+    scratch = Scratch(links.sparkSession)
+    now = scratch.keep(links.select("map_id", "id", F.col("next").alias("to"), F.lit(1).cast("long").alias("acc")))
     for _ in range(most):
         live = now.filter("to is not null")
         if live.isEmpty():
@@ -45,37 +56,63 @@ def accumulate(links: DataFrame, most: int = 40) -> DataFrame:
         gain = live.groupBy("map_id", F.col("to").alias("id")).agg(F.sum("acc").alias("gain"))
         ahead = now.select("map_id", F.col("id").alias("to"), F.col("to").alias("to2"))
         after = now.join(ahead, ["map_id", "to"], "left").join(gain, ["map_id", "id"], "left")
-        now = settle(after.select("map_id", "id", F.col("to2").alias("to"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")))
+        after = scratch.keep(after.select("map_id", "id", F.col("to2").alias("to"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")))
+        scratch.drop(now)
+        now = after
     return now.select("map_id", "id", "acc")
 
 
-def components(mask: DataFrame, eight: bool = False) -> DataFrame:
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component, of nodes 0 to n-1 with links a-b: hooking and pointer jumping."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        live = x != y
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return root
+
+
+def components(mask: DataFrame, eight: bool = False, tile: int = TILE, rounds: list | None = None) -> DataFrame:
     """mask: map_id, y, x -> with label, the least (y, x) of the pixel's connected component as y * 2**32 + x.
 
-    Rows are cut into runs first; then labels are spread between touching runs, with jumps.
+    Tiles are labelled by themselves, an Arrow group each; only links between touching border
+    pixels of two tiles go through the star steps, so the rounds work on a share of 1/tile.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("map_id", "y").orderBy("x")
-    px = mask.select("map_id", "y", "x").withColumn("run", F.col("x") - F.row_number().over(w))
-    runs = px.groupBy("map_id", "y", "run").agg(F.min("x").alias("a"), F.max("x").alias("b")).withColumn("id", F.col("y").cast("long") * (1 << 32) + F.col("a"))
-    runs = settle(runs)
-    below = runs.select("map_id", (F.col("y") - 1).alias("y"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("id").alias("id2"))
-    d = 1 if eight else 0
-    touch = runs.join(below, ["map_id", "y"]).filter((F.col("a2") <= F.col("b") + d) & (F.col("b2") >= F.col("a") - d)).select("map_id", "id", "id2")
-    links = settle(touch.unionByName(touch.select("map_id", F.col("id2").alias("id"), F.col("id").alias("id2"))))
-    now = runs.select("map_id", "id", F.col("id").alias("label"))
-    while True:
-        seen = links.join(now.select("map_id", F.col("id").alias("id2"), F.col("label").alias("other")), ["map_id", "id2"]).groupBy("map_id", "id").agg(F.min("other").alias("other"))
-        step = now.join(seen, ["map_id", "id"], "left").select("map_id", "id", F.least("label", F.coalesce("other", "label")).alias("label"))
-        jump = step.select("map_id", F.col("id").alias("label"), F.col("label").alias("label2"))
-        after = settle(step.join(jump, ["map_id", "label"]).select("map_id", "id", F.col("label2").alias("label")))
-        changed = not after.join(now.withColumnRenamed("label", "old"), ["map_id", "id"]).filter("label <> old").isEmpty()
-        now = after
-        if not changed:
-            break
-    named = runs.join(now, ["map_id", "id"]).select("map_id", "y", "run", "label")
-    return px.join(named, ["map_id", "y", "run"]).select("map_id", "y", "x", "label")
+    scratch = Scratch(mask.sparkSession)
+
+    def label(table: pa.Table) -> pa.Table:
+        y, x = table.column("y").to_numpy().astype(np.int64), table.column("x").to_numpy().astype(np.int64)
+        order = np.lexsort((x, y))
+        grid = np.full((tile + 2, tile + 2), -1, np.int64)  # a border of nothing
+        i, j = y[order] % tile + 1, x[order] % tile + 1
+        grid[i, j] = np.arange(len(order))
+        a, b = [], []
+        for di, dj in ((0, 1), (1, 0), (1, 1), (1, -1))[: 4 if eight else 2]:
+            other = grid[i + di, j + dj]
+            a.append(np.flatnonzero(other >= 0))
+            b.append(other[a[-1]])
+        head = order[forest(len(order), np.concatenate(a), np.concatenate(b))]
+        out = np.empty(len(order), np.int64)
+        out[order] = y[head] * LINE + x[head]
+        return table.select(["map_id", "y", "x"]).append_column("part", pa.array(out))
+
+    of = lambda c: F.floor(F.col(c) / tile)
+    px = mask.select(F.col("map_id").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"))
+    px = scratch.keep(px.groupBy("map_id", of("y").alias("ty"), of("x").alias("tx")).applyInArrow(label, "map_id int, y int, x int, part long"))
+    edge = lambda c, k: F.pmod(F.col(c), F.lit(tile)) == k
+    first = px.filter(edge("y", 0) | edge("x", 0) | (edge("x", tile - 1) if eight else F.lit(False)))
+    steps = [(-1, 0), (0, -1)] + ([(-1, -1), (-1, 1)] if eight else [])
+    near = first.withColumn("s", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps))))
+    near = near.select("map_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), F.col("part").alias("a"))
+    last = px.filter(edge("y", tile - 1) | edge("x", tile - 1) | (edge("x", 0) if eight else F.lit(False))).withColumnRenamed("part", "b")
+    links = scratch.keep(near.join(last, ["map_id", "y", "x"]).filter("a <> b").select("map_id", "a", "b").distinct())
+    if links.isEmpty():
+        return px.withColumnRenamed("part", "label")
+    names = star_components(links, scratch, ("map_id",), rounds).withColumnRenamed("node", "part")
+    return px.join(names, ["map_id", "part"], "left").select("map_id", "y", "x", F.coalesce("component", "part").alias("label"))
 
 
 def at_least(labelled: DataFrame, size: int) -> DataFrame:
@@ -86,11 +123,13 @@ def at_least(labelled: DataFrame, size: int) -> DataFrame:
 def closure(edges: DataFrame, start: DataFrame, reverse: bool = False) -> DataFrame:
     """edges: src, dst; start: id -> all ids reachable, the start included; cycles are no harm."""
     src, dst = ("dst", "src") if reverse else ("src", "dst")
-    seen = front = settle(start.select("id").distinct())
+    scratch = Scratch(edges.sparkSession)
+    steps = scratch.keep(edges.select(F.col(src).alias("id"), F.col(dst).alias("to")).distinct())
+    seen = front = scratch.keep(start.select("id").distinct())
     while not front.isEmpty():
-        step = front.join(edges, F.col("id") == F.col(src)).select(F.col(dst).alias("id")).distinct()
-        front = settle(step.join(seen, "id", "left_anti"))
-        seen = settle(seen.unionByName(front))
+        # A union of the rounds' tables: nothing that was reached is written again.
+        front = scratch.keep(front.join(steps, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -123,14 +162,17 @@ def suppress(points: DataFrame, radius: float) -> DataFrame:
     A point that beats all undecided points near it is kept and its neighbours go, round by round:
     the same as one by one, as the order is total.
     """
-    left = settle(points.select("map_id", "id", "x", "y", "strength"))
+    scratch = Scratch(points.sparkSession)
+    left = scratch.keep(points.select("map_id", "id", "x", "y", "strength"))
     kept = None
     while not left.isEmpty():
         other = left.select("map_id", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("strength").alias("s2"))
         pairs = radius_join(left, other, radius).filter("id <> id2")
         beaten = pairs.filter("s2 > strength or (s2 = strength and id2 > id)").select("map_id", "id").distinct()
-        best = settle(left.join(beaten, ["map_id", "id"], "left_anti"))
+        best = scratch.keep(left.join(beaten, ["map_id", "id"], "left_anti"))
         kept = best if kept is None else kept.unionByName(best)
         gone = radius_join(left, best.select("map_id", F.col("x").alias("x2"), F.col("y").alias("y2")), radius).select("map_id", "id").distinct()
-        left = settle(left.join(gone, ["map_id", "id"], "left_anti"))
-    return left.select("map_id", "id") if kept is None else kept.select("map_id", "id")
+        rest = scratch.keep(left.join(gone, ["map_id", "id"], "left_anti"))
+        scratch.drop(left)
+        left = rest
+    return points.select("map_id", "id") if kept is None else kept.select("map_id", "id")

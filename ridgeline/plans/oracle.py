@@ -96,7 +96,7 @@ D8 = """step AS (SELECT * FROM (VALUES (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, -1,
 dr AS (SELECT a.map_id, a.y, a.x, s.code, (a.gray - b.gray) / CASE WHEN s.dx <> 0 AND s.dy <> 0 THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END AS fall
   FROM {g} a, step s, {g} b WHERE b.map_id = a.map_id AND b.x = a.x + s.dx AND b.y = a.y + s.dy AND a.gray > b.gray),
 di AS (SELECT a.map_id, a.y, a.x, coalesce(b.code, 0) AS d8 FROM {g} a LEFT JOIN (SELECT map_id, y, x, code FROM dr QUALIFY row_number() OVER (PARTITION BY map_id, y, x ORDER BY fall DESC, code) = 1) b USING (map_id, y, x)),
-ne AS (SELECT di.map_id, di.y, di.x, d8, CASE WHEN d8 > 0 THEN (di.y + dy) * 1048576 + di.x + dx END AS nxt, di.y * 1048576 + di.x AS id FROM di LEFT JOIN step ON code = d8),
+ne AS (SELECT di.map_id, di.y, di.x, d8, CASE WHEN d8 > 0 THEN (di.y + dy) * 4294967296 + di.x + dx END AS nxt, di.y * 4294967296 + di.x AS id FROM di LEFT JOIN step ON code = d8),
 ol AS (SELECT map_id, id, y, x, row_number() OVER (PARTITION BY map_id ORDER BY y, x) - 1 AS label FROM ne WHERE nxt IS NULL)"""
 LABELS = """la AS (SELECT map_id, id, y, x, label FROM ol UNION ALL SELECT n.map_id, n.id, n.y, n.x, la.label FROM la JOIN ne n ON n.map_id = la.map_id AND n.nxt = la.id)"""
 ACC = """ac AS (SELECT map_id, id AS origin, id, nxt FROM ne UNION ALL SELECT ac.map_id, ac.origin, n.id, n.nxt FROM ac JOIN ne n ON n.map_id = ac.map_id AND n.id = ac.nxt)"""

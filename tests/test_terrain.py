@@ -110,8 +110,8 @@ def test_components_and_suppression(spark):
     r = np.random.default_rng(4)
     mask = r.random((16, 16)) < 0.55
     rows = [(0, int(y), int(x)) for y, x in np.argwhere(mask)]
-    for eight in (False, True):
-        got = {(p.y, p.x): p.label for p in components(spark.createDataFrame(rows, "map_id int, y int, x int"), eight).collect()}
+    for eight, tile in ((False, 512), (True, 512), (False, 5), (True, 5)):
+        got = {(p.y, p.x): p.label for p in components(spark.createDataFrame(rows, "map_id int, y int, x int"), eight, tile).collect()}
         label = {(y, x): y << 32 | x for _, y, x in rows}
         near = [(0, 1), (1, 0), (0, -1), (-1, 0)] + [(1, 1), (1, -1), (-1, 1), (-1, -1)] * eight
         while True:
@@ -210,3 +210,13 @@ def test_spine_helpers(spark):
     df = spark.createDataFrame([(1, [(0, 0), (3, 4), (3, 4)])], "k int, spine array<struct<x:int,y:int>>")
     row = df.select(features.polyline_length(F.col("spine"), 2.0).alias("n"), features.contains_point(F.col("spine"), 3, 5, 1.5).alias("a"), features.contains_point(F.col("spine"), 9, 9, 2.0).alias("b")).first()
     assert tuple(row) == (10.0, True, False)
+
+
+def test_components_take_few_rounds(spark):
+    n, turns = 2000, []
+    rows = []
+    for k in range(n):  # a serpentine: every second line is one run, the lines between join them at alternate ends
+        rows += [(0, 2 * k, x) for x in range(3)] + [(0, 2 * k + 1, 2 * (k % 2))]
+    got = components(spark.createDataFrame(rows, "map_id int, y int, x int"), tile=2, rounds=turns)
+    assert got.select("label").distinct().count() == 1 and got.count() == len(rows)
+    assert len(turns) < 20
