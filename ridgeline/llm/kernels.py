@@ -12,6 +12,18 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 5  # odd, 5 mod 8: the longest period modulo 2**64
 
 
+def fresh(df, *names: str) -> list[str]:
+    """Column names like those given that the table doesn't have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"{name}_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads the good high bits of a polynomial hash over the word."""
     x = x ^ (x >> U64(30))
