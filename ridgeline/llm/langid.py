@@ -9,7 +9,10 @@ spans of one language each.  Words without letters follow their neighbours.
 
 A document's language is the one with most letters' bytes in its spans, and its score their share.  Null
 text, and text without a letter, is ``und`` with score 0 and no spans; so is all text when nothing is
-labelled.  Counting covers all training documents; its result is at most languages times 2**BITS counts.
+labelled.  Counting covers all training documents; its result is at most languages times 2**BITS counts,
+which the driver gathers and sends to all: the number of languages is taken to be in the hundreds.
+Scripts that no range lists are one, "Other".  Whole texts are read, a very long one in a part of its
+own; repeated rows count and are labelled each; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -32,29 +35,34 @@ RANGES = (
     (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"), (0x1E00, 0x1EFF, "Latin"), (0x3041, 0x30FF, "Kana"), (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7A3, "Hangul"),
 )
 SCRIPTS = ["", *dict.fromkeys(r[2] for r in RANGES), "Other"]
-_FIRST, _LAST = np.array([r[0] for r in RANGES]), np.array([r[1] for r in RANGES])
-_CODE = np.array([SCRIPTS.index(r[2]) for r in RANGES])
+_TABLE: list[np.ndarray] = []
 
 
 def script_of(cp: np.ndarray) -> np.ndarray:
-    """Number of the script of each code point; 0: none, or no letter of a listed script."""
-    at = np.searchsorted(_FIRST, cp, side="right") - 1
-    ok = (at >= 0) & (cp <= _LAST[at]) & (cp != 0xD7) & (cp != 0xF7)
-    return np.where(ok, _CODE[at], 0)
-
-
-def script_bytes(buf: np.ndarray) -> np.ndarray:
-    """Script number at each character's first byte, 0 elsewhere."""
-    out = np.zeros(len(buf), np.int8)
+    """Number of the script of each code point: any letter (Unicode L*) out of the ranges is "Other"; 0: no letter."""
+    if not _TABLE:
+        letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        table = np.full(0x110000, SCRIPTS.index("Other"), np.int8)
+        for first, last, name in RANGES:
+            table[first : last + 1] = SCRIPTS.index(name)
+        _TABLE.append(np.where(letter, table, 0).astype(np.int8))
+    return _TABLE[0][cp]
+
+
+def script_bytes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Script number at each character's first byte, 0 elsewhere, and the bytes of letters, at their first ones."""
+    out, size = np.zeros(len(buf), np.int8), np.zeros(len(buf), np.int8)
     out[((buf >= 65) & (buf <= 90)) | ((buf >= 97) & (buf <= 122))] = SCRIPTS.index("Latin")
     pad = np.concatenate([buf, np.zeros(4, np.uint8)]).astype(np.int64)
-    for low, high, extra, mask in ((0xC2, 0xDF, 1, 31), (0xE0, 0xEF, 2, 15)):
+    for low, high, extra, mask in ((0xC2, 0xDF, 1, 31), (0xE0, 0xEF, 2, 15), (0xF0, 0xF4, 3, 7)):
         at = np.flatnonzero((buf >= low) & (buf <= high))
         cp = pad[at] & mask
         for k in range(1, extra + 1):
             cp = cp << 6 | pad[at + k] & 63
         out[at] = script_of(cp)
-    return out
+        size[at] = (out[at] > 0) * (extra + 1)
+    size[(out > 0) & (buf < 128)] = 1
+    return out, size
 
 
 class Text:
@@ -73,10 +81,14 @@ class Text:
         gram ^= gram >> 15
         gram = gram * np.uint32(0x9E3779B1)
         self.feature = (gram >> np.uint32(32 - BITS))[: len(flat)].astype(np.int64)
-        codes = script_bytes(flat)
-        sums = np.concatenate([[0], np.cumsum((codes > 0) | (flat >= 0x80))])
+        codes, size = script_bytes(flat)
+        sums = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         self.letters = sums[self.begin[1:]] - sums[self.begin[:-1]]
-        self.script = np.maximum.reduceat(codes, self.begin[:-1]).astype(np.int64) if len(self.begin) > 1 else np.zeros(0, np.int64)
+        # A word's script is that of its first letter.
+        at = np.flatnonzero(codes)
+        first = np.searchsorted(at, self.begin[:-1])
+        inside = (first < len(at)) & (self.letters > 0)
+        self.script = np.where(inside, codes[at[np.minimum(first, len(at) - 1)]], 0).astype(np.int64) if len(at) else np.zeros(len(self.begin) - 1, np.int64)
         self.start, self.end = w.start, w.end
 
 
@@ -198,10 +210,7 @@ def predict(docs: DataFrame, model: Model | None, penalty: float = PENALTY) -> D
             doc = np.repeat(np.arange(docs_n), n)
             share = np.bincount(doc * len(m.langs) + label, letters, docs_n * len(m.langs)).reshape(docs_n, -1)
             total, best = share.sum(axis=1), share.argmax(axis=1)
-            unsure = np.flatnonzero(~np.array([s.any() for s in np.split((buf | 32 >= 97) & (buf | 32 <= 122), offs[1:-1])], bool)) if docs_n else []
             speaks = total > 0
-            for d in unsure:  # without an ASCII letter: look at the characters
-                speaks[d] = any(c.isalpha() for c in buf[offs[d] : offs[d + 1]].tobytes().decode())
             new = np.ones(len(label), bool)
             new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
             new &= speaks[doc]
