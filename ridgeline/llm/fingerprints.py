@@ -10,9 +10,11 @@ Only DataFrame functions are used.  Words are ``[^\\x20\\x09-\\x0D]+``; a text o
 one shingle, the whole sequence; one without words has the zero fingerprint, whose likeness to its
 own kind is 1 and to others 0.  Null text is empty.
 
-``compare`` also sets each row beside the next by ascending doc_id (null first, then by text).  Rows are dealt by
-ranges of doc_id in one shuffle; the first rows of a range also go to the range before, so
-that no range waits for another.
+``compare`` also sets each row beside the next by ascending doc_id (null first, equal ones by hash of the text, then by
+text; repeated rows follow each other).  Rows are dealt by ranges of doc_id, as many as the bytes ask for, in one
+shuffle; the first row of a range also goes to the range before, so that no range waits for another.
+Ranges split at approximate quantiles, compared exactly as longs, and evenly within these; rows
+without a doc_id are split by the hash.  Extra columns are of no concern.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.llm.kernels import fresh
+
 BINS, SIZE = 128, 5
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,7 +33,9 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Each step is a column that the next one names more than once, which keeps Spark from inlining it.
     """
-    s = f"_{out}_"
+    s = fresh(df, f"{out}_")[0]
+    while any(c.lower() in (s + x for x in "whv") for c in df.columns):
+        s += "_"
     df = df.withColumn(s + "w", F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda x: x != ""), lambda x: F.xxhash64(x)))
     n = F.size(s + "w")
     one = F.when(n > 0, F.array(F.xxhash64(s + "w"))).otherwise(F.array().cast("array<bigint>"))
@@ -57,30 +63,50 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """The table with column fingerprint added (or replaced)."""
-    return with_bins(docs, "text", "_bins").withColumn("fingerprint", packed("_bins")).drop("_bins")
-
-
-def compare(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    (bins,) = fresh(docs, "bins")
+    return with_bins(docs, "text", bins).withColumn("fingerprint", packed(bins)).drop(bins)
+
+
+def ranged(rows: DataFrame, range_bytes: int, most: int | None = None) -> DataFrame:
+    """Adds part, a number that rises with (doc_id, h), nulls first: about range_bytes of texts each."""
+    m = most or min(1024, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = F.octet_length("t")
+    facts = rows.agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.when(F.col("doc_id").isNotNull(), size)).alias("known"), F.sum(F.when(F.col("doc_id").isNull(), size)).alias("unknown"),
+        F.percentile_approx("doc_id", [k / m for k in range(1, m)] or [0.5], 10 * m).alias("cuts"),
+    ).first()
+    # Doubles only spread rows within a range: rounding keeps their order.
+    pieces = max(1, -(-(facts.unknown or 0) // range_bytes))
+    spread = lambda share, n: F.greatest(F.lit(0).cast("long"), F.least(F.floor(share * float(n)).cast("long"), F.lit(n - 1).cast("long")))
+    blank = F.lit(-pieces).cast("long") + spread(F.col("h").cast("double") / 2.0**64 + 0.5, pieces)
+    if facts.low is None:
+        return rows.withColumn("part", blank)
+    starts = sorted({facts.low, *(c for c in facts.cuts if facts.low < c <= facts.high)})
+    k = max(1, -(-(facts.known or 0) // (range_bytes * len(starts))))
+    bounds = F.array(*(F.lit(x).cast("long") for x in [*starts, facts.high]))
+    steps = F.array(*(F.lit(1 << b) for b in range(len(starts).bit_length() - 1, -1, -1)))
+    fits = lambda at: (at < len(starts)) & (F.get(bounds, at) <= F.col("doc_id"))
+    rows = rows.withColumn("at", F.aggregate(steps, F.lit(0), lambda s, step: F.when(fits(s + step), s + step).otherwise(s)))
+    begin, end = F.get(bounds, F.col("at")).cast("double"), F.get(bounds, F.col("at") + 1).cast("double")
+    known = F.col("at").cast("long") * k + spread((F.col("doc_id").cast("double") - begin) / (end - begin + 1), k)
+    return rows.withColumn("part", F.when(F.col("doc_id").isNull(), blank).otherwise(known)).drop("at")
+
+
+def compare(docs: DataFrame, ranges: int | None = None, range_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last quarter of characters replaced by the first as many of the next row's.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("d"))
-    nulls = not ids.filter("d is null").isEmpty()
-    starts = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("d")).approxQuantile("d", [k / ranges for k in range(ranges)], 1 / (4 * ranges)) or []})
-    if not starts:
-        starts = [0]
-    bounds = F.array(*(F.lit(x).cast("long") for x in starts))
-    part = F.greatest(F.lit(1), F.size(F.filter(bounds, lambda b: b <= F.coalesce(F.col("doc_id"), F.lit(starts[0]).cast("long")))))
-    first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == starts[0]
-    place = lambda p, ghost: F.struct(F.lit(p).cast("int").alias("part") if isinstance(p, int) else p.cast("int").alias("part"), F.lit(ghost).alias("ghost"))
-    own = F.array(place(part, 0))
-    leads = F.col("doc_id").isin(starts[1:]) if len(starts) > 1 else F.lit(False)
-    places = F.when(first, F.concat(own, F.array(place(len(starts), 2)))).when(leads, F.concat(own, F.array(place(part - 1, 1)))).otherwise(own)
-    dealt = with_bins(rows, "t", "bins").withColumn("place", F.explode(places)).select("doc_id", "t", "bins", "place.part", "place.ghost")
-    w = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "t")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    rows = ranged(rows, range_bytes, ranges)
+    firsts = rows.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    up = Window.orderBy("part")  # a row a range
+    before = F.coalesce(F.lag("part").over(up), F.max("part").over(up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select(F.col("part").alias("p"), F.col("least.doc_id").alias("d"), F.col("least.h").alias("g"), before.alias("before"))
+    ghosts = rows.join(firsts, (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    ghosts = ghosts.groupBy("before").agg(F.min("t").alias("t")).select(F.lit(None).cast("long").alias("doc_id"), "t", F.lit(0).cast("long").alias("h"), F.col("before").alias("part"), F.lit(1).alias("ghost"))
+    dealt = with_bins(rows.withColumn("ghost", F.lit(0)).unionByName(ghosts), "t", "bins")
+    w = Window.partitionBy("part").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "h", "t")
     dealt = dealt.withColumn("next", F.lead("t").over(w)).withColumn("next_bins", F.lead("bins").over(w)).filter("ghost = 0")
     dealt = dealt.withColumn("n", F.char_length("t"))
     cut = F.floor(F.col("n") / 4).cast("int")

@@ -64,3 +64,31 @@ def test_edges(spark):
     one = fingerprints.compare(spark.createDataFrame([(4, "a b c d e f g h")], "doc_id long, text string")).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"a b c d e f a b").hexdigest()
     assert fingerprints.fingerprint(df).columns == ["doc_id", "text", "fingerprint"]
+
+
+def test_ids_beyond_doubles_and_without_ids(spark):
+    r = random.Random(2)
+    rows = [((1 << 60) + k, " ".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 60)))) for k in range(150)]
+    rows += [(-(1 << 62) + 1, "far away"), ((1 << 62) + 1, "at the end of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    rows.sort()
+    for ranges, size in ((9, 64 << 20), (3, 100)):
+        out = {x.doc_id: x for x in fingerprints.compare(df, ranges, size).collect()}
+        assert len(out) == len(rows)
+        for k, (i, t) in enumerate(rows):
+            nxt = rows[(k + 1) % len(rows)][1]
+            cut = len(t) // 4
+            assert out[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
+            assert out[i].near_next == pytest.approx(likeness(out[i].fingerprint, out[rows[(k + 1) % len(rows)][0]].fingerprint))
+    # Rows without an id are dealt by their texts' hashes; each has a next one, and the last leads on to the first id.
+    texts = [f"blank {k} " * 5 for k in range(60)]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(3, "three of a kind")], "doc_id long, text string")
+    out = fingerprints.compare(df, 5, 200).collect()
+    edited = [hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest() for t in texts for n in [*texts, "three of a kind"]]
+    assert len(out) == 61 and all(x.edited_sha256 in edited for x in out if x.doc_id is None)
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c", 1, 2, 3)], "doc_id long, text string, bins int, bins_w int, Bins_ int")
+    assert fingerprints.fingerprint(df).columns == [*df.columns, "fingerprint"]
+    assert fingerprints.fingerprint(df).first().bins_w == 2
