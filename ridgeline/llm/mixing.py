@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.scratch import Scratch
+from ridgeline.sources.scratch import Scratch
 
 WEIGHTS, SHARE, CAP, BINS = (3, 1, 2), 1.5, 2.0, 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,60 +72,65 @@ def plan(sizes: DataFrame, goal: DataFrame, cap: float = CAP) -> DataFrame:
 
 
 def place(sized: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
-    """Adds whole and rank (in (0, 1); null: no further copy) to rows with doc_id, source, size."""
-    plans = plans.withColumnsRenamed({"source": "_s", "class": "_c", "whole": "_whole", "p": "_p", "need": "_need"})
-    out = sized.join(plans, F.col("source").eqNullSafe(F.col("_s")) & (class_of(F.col("size")) == F.col("_c")) & (F.col("size") > 0), "left")
+    """Adds whole, need and rank (in (0, 1); null: no further copy) to rows with doc_id, source, size."""
+    plans = plans.withColumnsRenamed({"source": "of_source", "class": "of_class"})
+    out = sized.join(plans, F.col("source").eqNullSafe(F.col("of_source")) & (class_of(F.col("size")) == F.col("of_class")) & (F.col("size") > 0), "left")
     u = chance(F.col("doc_id"), F.col("size"), seed)
-    odds = u / (1 - u) / (F.col("_p") / (1 - F.col("_p")))
-    return out.withColumn("_rank", F.when(F.col("_p") > 0, odds / (1 + odds))).drop("_s", "_c", "_p")
+    odds = u / (1 - u) / (F.col("p") / (1 - F.col("p")))
+    return out.withColumn("rank", F.when(F.col("p") > 0, odds / (1 + odds))).drop("of_source", "of_class", "p")
 
 
 def cuts(placed: DataFrame, bins: int = BINS) -> DataFrame:
     """source, cut: the rank up to which documents get a further copy."""
-    ranked = placed.filter("_rank is not null").select("source", "size", "_rank", "_need", F.floor(F.col("_rank") * bins).alias("bin"))
+    ranked = placed.filter("rank is not null").select("source", "size", "rank", "need", F.floor(F.col("rank") * bins).alias("bin"))
     up = Window.partitionBy("source").orderBy("bin")
-    by = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("_rank").alias("top"), F.max("_need").alias("need"))
+    by = ranked.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.max("rank").alias("top"), F.max("need").alias("need"))
     by = by.withColumn("upto", F.sum("words").over(up)).withColumn("before", F.col("upto") - F.col("words"))
     sure = by.filter("upto <= need").groupBy("source").agg(F.max("top").alias("cut"))
-    edge = by.filter("upto > need and before <= need").select(F.col("source").alias("_s"), F.col("bin").alias("_b"), "before", "need")
-    inside = ranked.join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bin") == F.col("_b")))
+    edge = by.filter("upto > need and before <= need").select(F.col("source").alias("s"), F.col("bin").alias("b"), "before")
+    inside = ranked.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     # Ties share a rank: they are one step.
-    steps = inside.groupBy("source", "_rank").agg(F.sum("size").alias("words"), F.max("before").alias("before"), F.max("need").alias("need"))
-    steps = steps.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("_rank")))
-    more = steps.filter(F.col("upto") - F.col("words") / 2 <= F.col("need")).groupBy("source").agg(F.max("_rank").alias("cut"))
+    steps = inside.groupBy("source", "rank").agg(F.sum("size").alias("words"), F.max("before").alias("before"), F.max("need").alias("need"))
+    steps = steps.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("rank")))
+    more = steps.filter(F.col("upto") - F.col("words") / 2 <= F.col("need")).groupBy("source").agg(F.max("rank").alias("cut"))
     return sure.unionByName(more).groupBy("source").agg(F.max("cut").alias("cut"))
 
 
-def copies(docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """The table with size, source_size, target and copies (how often the mix takes a row).
+class Plan:
+    """What the mix of a table takes: small tables by source and class of sizes; Spark broadcasts them while they are small.
 
-    Small tables by source and class of sizes are joined to it; Spark broadcasts them while they are small.
+    sized: doc_id, source and size of each row, written once.
     """
-    scratch = Scratch(docs.sparkSession)
-    # Sizes of an extra column are of no concern: only these three are read here.
-    sized = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
-    goal = scratch.keep(targets(sized, weights, share, cap))
-    plans = scratch.keep(plan(sized, goal, cap))
-    cut = scratch.keep(cuts(place(sized, plans, seed))).withColumnsRenamed({"source": "_t", "cut": "_cut"})
-    goal = goal.withColumnsRenamed({"source": "_g", "source_size": "_source_size", "target": "_target"})
-    rows = docs if "text" not in docs.columns else docs.withColumn("_size", size_of(F.col("text")))
-    taken = place(rows.withColumnRenamed("size", "__size").withColumnRenamed("_size", "size"), plans, seed)
-    taken = taken.join(cut, F.col("source").eqNullSafe(F.col("_t")), "left").join(goal, F.col("source").eqNullSafe(F.col("_g")), "left")
-    again = F.coalesce((F.col("_rank") <= F.col("_cut")).cast("long"), F.lit(0))
-    taken = taken.withColumn("_copies", F.coalesce("_whole", F.lit(0)) + again).withColumnRenamed("size", "_size").withColumnRenamed("__size", "size")
-    return taken.drop("_t", "_cut", "_g", "_rank", "_whole", "_need")
+
+    def __init__(self, docs: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = SHARE, cap: float = CAP):
+        scratch = Scratch(docs.sparkSession)
+        self.seed = seed
+        self.sized = scratch.keep(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
+        self.goal = scratch.keep(targets(self.sized, weights, share, cap))
+        self.plans = scratch.keep(plan(self.sized, self.goal, cap))
+        self.cut = scratch.keep(cuts(place(self.sized, self.plans, seed)))
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, source, size, ...) with source_size, target and copies."""
+        cut = self.cut.withColumnRenamed("source", "cut_source")
+        goal = self.goal.withColumnRenamed("source", "goal_source")
+        taken = place(rows, self.plans, self.seed)
+        taken = taken.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").join(goal, F.col("source").eqNullSafe(F.col("goal_source")), "left")
+        again = F.coalesce((F.col("rank") <= F.col("cut")).cast("long"), F.lit(0))
+        return taken.withColumn("copies", F.coalesce("whole", F.lit(0)) + again)
 
 
 def report(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, size, source_size, target, taken, and copies."""
-    out = copies(docs.select("doc_id", "source", "text"), **kw)
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+    p = Plan(docs, **kw)
+    return p.copies(p.sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
-    """The table with each row as often as the mix takes it."""
-    out = copies(docs, **kw).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return out.select(*docs.columns)
+    """The table with each row as often as the mix takes it; a row travels as one struct, so that no name can clash."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = Plan(docs, **kw).copies(rows).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 #: The same by plain windows over whole sources.

@@ -54,3 +54,14 @@ def test_mix_repeats_rows_and_edges(spark):
     assert mixing.report(empty).collect() == [] and mixing.mix(empty).collect() == []
     nothing = spark.createDataFrame([(1, None, None, 0), (1, "", "a", 0)], KIND)
     assert [r.taken for r in mixing.report(nothing).collect()] == [0, 0]
+
+
+def test_columns_that_clash(spark):
+    names = ["_rank", "_size", "_copies", "_whole", "_need", "_cut", "_target", "_source_size", "rank", "size", "copies", "whole", "need", "cut", "target", "row", "of_source", "Size2"]
+    rows = [(k, f"w{k} " * (k % 7 + 1), "ab"[k % 2], *range(len(names))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    plain = mixing.mix(df.select("doc_id", "text", "source"))
+    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in plain.collect())
+    assert all(tuple(r[3:]) == tuple(range(len(names))) for r in out.collect())
