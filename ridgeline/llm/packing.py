@@ -8,8 +8,9 @@ left.  That gives windows of nearly equal length.  q windows hold all but a few
 what is over is cut off before and stored in sequences whose length is a power of two, which
 need no padding.  If a window exceeds the capacity nevertheless, the window count rises.
 
-Words are tokenised once a worker: the tokenizer drops white space and no token spans it, so a
-text's ids are those of its words, in small letters and apart from marks that end them.  sequence_id is (partition, sequence in it).  Null text is empty
+Words are tokenised once a worker where the tokenizer drops white space, lower-cases and splits marks off: a
+text's ids are then those of its words.  That is probed when it is loaded; whole texts are tokenised otherwise.
+A very long text is tokenised as one part and cut like any other.  sequence_id is (partition, sequence in it).  Null text is empty
 and gives the final id alone; rows with equal doc_id are packed each; an empty table gives none.
 """
 
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 
 from ridgeline.llm.kernels import PrefixHash, Words, arrow_texts, byte_codes, mix, same_bytes, splits
 
-CAPACITY, END, GROUP = 4096, 2, 2 << 20
+CAPACITY, END, GROUP, ROOM = 4096, 2, 2 << 20, 4
 KNOWN_WORDS = 300_000
 CODES = byte_codes(61)
+#: Texts that tell whether a tokenizer works by words.
+PROBES = ("The quick  Brown\tFOX, it's 3.14!", " a-b_c (x) [y] e.g. ...wow?! ", "Ünï çodé\nline two; <b>tag</b> #1 100%", "tabs\t\tand\x0bmore\x0c end.", "A.B.C. co-op don't U.S.A", "")
 
 
 class WordIds(dict):
@@ -42,7 +45,20 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(tokenizer)
         self.final = {i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")}
+        self.by_words = True
         self.forget()
+        self.by_words = self.probe()
+        self.forget()
+
+    def probe(self) -> bool:
+        """Whether ids of these texts are those of their words: so it is for tokenizers that lower-case, drop white space and split marks off."""
+        texts = [x.encode() for x in PROBES]
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+        ids, at = self.encode(np.frombuffer(b"".join(texts), np.uint8), offs)
+        return all(ids[a : b - 1].tolist() == e.ids for a, b, e in zip(at[:-1], at[1:], self.whole(PROBES), strict=True))
+
+    def whole(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def forget(self):
         self.clear()
@@ -56,6 +72,10 @@ class WordIds(dict):
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents with their END, and where each document's begin."""
+        if not self.by_words:
+            data = buf.tobytes()
+            rows = [[*e.ids, END] for e in self.whole([data[a:b].decode() for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])]
+            return np.fromiter(chain.from_iterable(rows), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
         if len(self) > KNOWN_WORDS:
             self.forget()
         w = Words(buf, offs)
@@ -180,33 +200,27 @@ def arrange(lengths: list[int]) -> list[list[tuple[int, int, int]]]:
             rests.append((n % CAPACITY, d, full * CAPACITY))
     rests.sort(reverse=True)
     total = sum(n for n, _, _ in rests)
-    # What is over is cut off the largest rests; each further try leaves the windows more room.
-    for room in (4, 16, 64, 256):
-        q = total // CAPACITY
-        slack = room * q + 256 if q else 0
-        if slack >= CAPACITY * q // 2:
-            slack = 0
-            q = 0
-        over = max(0, total - (q * CAPACITY - slack)) if q else total
-        if q:
-            over -= over % 256
-        items, cut, left = [], [], over
-        for n, d, at in rests:
-            take = min(n, left)
-            left -= take
-            if take:
-                cut.append((d, at + n - take, take))
-            if n > take:
-                items.append((n - take, d, at))
-        bins = differencing([n for n, _, _ in items], q) if q else []
-        if all(sum(items[i][0] for i in b) <= CAPACITY for b in bins):
-            break
-    else:
-        items, cut, q = rests, [], -(-total // CAPACITY)
-        bins, over = differencing([n for n, _, _ in items], q), 0
-        while any(sum(items[i][0] for i in b) > CAPACITY for b in bins):
-            q += 1
-            bins = differencing([n for n, _, _ in items], q)
+    # What is over q windows with a few tokens of room each is cut off the largest rests.
+    q = total // CAPACITY
+    room = ROOM * q + 256
+    if room >= CAPACITY * q // 2:
+        q = 0
+    over = max(0, total - (q * CAPACITY - room)) if q else total
+    if q:
+        over -= over % 256
+    items, cut, left = [], [], over
+    for n, d, at in rests:
+        take = min(n, left)
+        left -= take
+        if take:
+            cut.append((d, at + n - take, take))
+        if n > take:
+            items.append((n - take, d, at))
+    sizes = [n for n, _, _ in items]
+    bins = differencing(sizes, q) if q else []
+    while any(sum(sizes[i] for i in b) > CAPACITY for b in bins):  # the window count rises
+        q += 1
+        bins = differencing(sizes, q)
     out += [[(items[i][1], items[i][2], items[i][0]) for i in b] for b in bins if b]
     cut.reverse()
     for size in powers(over):

@@ -79,3 +79,28 @@ def test_arrange_small():
     for lengths in ([1], [4096], [4097], [5000] * 3, [3, 9], []):
         seqs = packing.arrange(lengths)
         assert sum(n for s in seqs for _, _, n in s) == sum(lengths)
+
+
+def test_a_tokenizer_that_keeps_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["Two  spaces, A Cap and\n\n lines", "", "x" * 50, "tab\tbed " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {}
+    for r in sorted(packing.pack(df, tokenizer=path).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids.setdefault(r.doc_id, []).extend(r.ids)
+    assert ids == {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}
+    assert packing.WordIds(public_tokenizers.path("word_bpe_49k.json")).by_words and not packing.WordIds(path).by_words
+
+
+def test_the_window_count_rises(monkeypatch):
+    monkeypatch.setattr(packing, "ROOM", 0)
+    r = random.Random(1)
+    for _ in range(30):
+        lengths = [r.randrange(1300, 2900) for _ in range(r.randrange(8, 60))]
+        seqs = packing.arrange(lengths)
+        assert all(sum(n for _, _, n in s) <= packing.CAPACITY for s in seqs)
+        seen = sorted((d, at, n) for s in seqs for d, at, n in s)
+        for d, n in enumerate(lengths):
+            own = [x for x in seen if x[0] == d]
+            assert own[0][1] == 0 and sum(x[2] for x in own) == n and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
