@@ -22,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.sources.scratch import Scratch
+
 SIZE, LEAST, MISS = 5, 0.8, 1e-9
 WORDS = r"[^\p{L}\p{N}]+"
 
@@ -101,12 +103,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = LEAST, miss: float
     rows = rows.select("doc_id", "row", "w", F.explode(F.concat(*found)).alias("x")).select("doc_id", "row", "w", "x.*")
     begin, stop = F.col("k") * F.col("n"), F.least(F.col("k") * F.col("n") + 2 * F.col("n"), F.size("w")) - F.col("size")
     rows = rows.filter(stop >= begin).withColumn("grams", F.array_distinct(F.transform(F.sequence(begin, stop), lambda i: F.xxhash64(F.slice(F.col("w"), i + 1, F.col("size")))))).drop("w")
-    rows = rows.select("doc_id", "row", "n", "size", "k", "grams", F.explode(F.sequence(F.lit(1), F.col("bands"))).alias("band"))
-    rows = rows.withColumn("hash", min_hash(F.col("grams"), F.col("band")))
+    every_window = Scratch(spark).keep(rows)
+    # Only numbers go through the bands; what they retrieve is joined back to its shingles.
+    hashes = F.transform(F.sequence(F.lit(1), F.col("bands")), lambda b: min_hash(F.col("grams"), b))
+    rows = every_window.select("row", "n", "size", "k", F.posexplode(hashes).alias("band", "hash")).withColumn("band", F.col("band") + 1)
     sizes = spark.createDataFrame([(n, s, b) for (n, s), b in kinds.items()], "n int, size int, bands int")
     banded = table.join(F.broadcast(sizes), ["n", "size"]).select("template", "license", "n", "size", F.col("grams").alias("wanted"), F.explode(F.sequence(F.lit(1), F.col("bands"))).alias("band"))
     banded = banded.withColumn("hash", min_hash(F.col("wanted"), F.col("band")))
-    found = rows.join(F.broadcast(banded), ["n", "size", "band", "hash"]).groupBy("doc_id", "row", "n", "size", "k", "template", "license").agg(F.first("grams").alias("grams"), F.first("wanted").alias("wanted"))
+    found = rows.join(F.broadcast(banded.drop("wanted", "license")), ["n", "size", "band", "hash"]).select("row", "n", "size", "k", "template").distinct()
+    found = found.join(every_window, ["row", "n", "size", "k"]).join(F.broadcast(table.select("template", "license", F.col("grams").alias("wanted"))), "template")
     found = found.withColumn("containment", F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")).filter(F.col("containment") >= least)
     return found.groupBy("doc_id", "template", "license").agg(F.max("containment").alias("containment"), F.min(F.col("k") * F.col("n")).cast("long").alias("first_word"), F.countDistinct("k").alias("windows"))
 
