@@ -99,3 +99,112 @@ def test_query_shape(spark):
     assert sum(len(r.pcm) for r in flac.blocks(stored).collect()) == sum(r.payload_bytes for r in out)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert flac.digest(flac.media(empty)).collect() == []
+
+
+class Bits:
+    def __init__(self, data):
+        self.v, self.left = int.from_bytes(data, "big"), 8 * len(data)
+
+    def take(self, n):
+        self.left -= n
+        return self.v >> self.left & (1 << n) - 1
+
+    def signed(self, n):
+        v = self.take(n)
+        return v - (1 << n) if v >> n - 1 else v
+
+    def unary(self):
+        n = 0
+        while not self.take(1):
+            n += 1
+        return n
+
+
+def plain_crc(data, poly, bits):
+    c = 0
+    for x in data:
+        c ^= x << bits - 8
+        for _ in range(8):
+            c = (c << 1 ^ poly if c >> bits - 1 else c << 1) & (1 << bits) - 1
+    return c
+
+
+def plain_decode(data):
+    """A decoder of mono 8-bit FLAC by the format's text, a bit at a time: independent of the module."""
+    assert data[:4] == b"fLaC"
+    at, last = 4, False
+    while not last:
+        last, kind, n = data[at] >> 7, data[at] & 127, int.from_bytes(data[at + 1 : at + 4], "big")
+        if kind == 0:
+            info = data[at + 4 : at + 4 + n]
+        at += 4 + n
+    total, out = int.from_bytes(info[10:18], "big") & (1 << 36) - 1, []
+    while len(out) < total:
+        b = Bits(data[at:])
+        size0 = b.left
+        assert b.take(14) == 0b11111111111110
+        b.take(2)
+        block, rate = b.take(4), b.take(4)
+        b.take(8)
+        first = b.take(8)
+        for _ in range(0 if first < 128 else f"{first:08b}".index("0") - 1):
+            b.take(8)
+        n = {1: 192, **{k: 576 << k - 2 for k in range(2, 6)}, **{k: 256 << k - 8 for k in range(8, 16)}}.get(block)
+        n = b.take(8) + 1 if block == 6 else b.take(16) + 1 if block == 7 else n
+        if rate == 12:
+            b.take(8)
+        elif rate in (13, 14):
+            b.take(16)
+        head = (size0 - b.left) // 8
+        assert plain_crc(data[at : at + head], 0x07, 8) == b.take(8)
+        assert b.take(1) == 0
+        kind, wasted = b.take(6), b.take(1)
+        assert not wasted
+        if kind == 0:
+            x = [b.signed(8)] * n
+        elif kind == 1:
+            x = [b.signed(8) for _ in range(n)]
+        else:
+            order = kind - 8 if kind < 16 else kind - 31
+            x = [b.signed(8) for _ in range(order)]
+            if kind >= 32:
+                width, shift = b.take(4) + 1, b.signed(5)
+                coefs = [b.signed(width) for _ in range(order)]
+            else:
+                shift, coefs = 0, [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+            width = 4 + b.take(2)
+            parts = b.take(4)
+            for p in range(1 << parts):
+                count = (n >> parts) - (order if p == 0 else 0)
+                k = b.take(width)
+                raw = b.take(5) if k == (1 << width) - 1 else None
+                for _ in range(count):
+                    if raw is not None:
+                        e = b.signed(raw) if raw else 0
+                    else:
+                        u = b.unary() << k | b.take(k)
+                        e = u >> 1 ^ -(u & 1)
+                    x.append(e + (sum(c * v for c, v in zip(coefs, reversed(x[len(x) - order :]))) >> shift))
+        out += x
+        used = -(-(size0 - b.left) // 8)
+        assert plain_crc(data[at : at + used], 0x8005, 16) == int.from_bytes(data[at + used : at + used + 2], "big")
+        at += used + 2
+    assert hashlib.md5(bytes(v & 255 for v in out)).digest() == info[18:34]
+    return bytes(v + 128 for v in out)
+
+
+def test_files_and_features_by_an_independent_decoder(spark):
+    r = random.Random(12)
+    texts = ["", "a", "aaaa" * 300, "".join(r.choice("the quick brown fox ") for _ in range(9000)), "".join(chr(r.randrange(32, 0x2FFF)) for _ in range(700)), "é" * 192]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {x.doc_id: x for x in flac.media(df).collect()}
+    got = {x.doc_id: x for x in flac.digest(flac.media(df)).collect()}
+    for k, t in enumerate(texts):
+        raw = t.encode()
+        payload = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
+        data = bytes(stored[k].media)
+        assert plain_decode(data) == payload
+        assert got[k].media_sha256 == hashlib.sha256(data).hexdigest() and got[k].media_bytes == len(data)
+        steps = sum(abs(a - b) for a, b in zip(payload, payload[1:]))
+        assert got[k].feature == f"n={len(payload)};mean={sum(payload) * 1000 // len(payload)};step={steps * 1000 // max(1, len(payload) - 1)};low={sum(x < 64 for x in payload)};high={sum(x >= 128 for x in payload)}"
+        assert got[k].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[k].tail_crc32 == zlib.crc32(payload[-16:])
