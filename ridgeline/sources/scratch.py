@@ -79,11 +79,11 @@ class Scratch:
 SALTS = 8
 
 
-def salted_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+def salted_join(rows: DataFrame, small: DataFrame, key: str | list[str], spread: str) -> DataFrame:
     """rows joined to small (a row a key) by key, in SALTS parts by the column spread: a hot key is no task of its own."""
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = small.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies, [*([key] if isinstance(key, str) else key), "_salt"]).drop("_salt")
 
 
 def components(links: DataFrame, scratch: Scratch, within: tuple[str, ...] = (), rounds: list | None = None) -> DataFrame:
