@@ -1,10 +1,19 @@
-"""Rounds of questions between blocks of documents.
-
-The corpus is cut into *blocks* of whole documents, written once.  A round lets every block send
-small binary payloads to numbered buckets, each bucket answers all payloads it got, and every
-block reads its answers.  Texts stay where they are but for one join a round; what moves is what
-the payloads hold.  Blocks merge their own repeats before they send, so that a string found in
-a third of all rows costs a row a block and not one a document.
+"""Blocks of documents that ask and answer each other by rows.
+
+The corpus is cut into *blocks* of whole documents, written once.  Texts stay where they are but for
+one join a round; what moves is keys, and arrays of what belongs to them.
+
+* ``shared`` counts keys: a row for each block and key it has, summed by key with partial aggregation.  The
+  blocks get back those that occur again, and those that are *hot*, in more places than one task should hold.
+* ``deal`` sends the rows of shared keys to buckets, packed by block and bucket.  Packs go to a thousand
+  buckets at most in a step; where there are more, each is dealt on in packs made anew from many
+  blocks, so that packs stay large and their number is in proportion to the input.
+* Hot keys go another way: what belongs to them is dealt by finer keys, one row a block and key, and
+  the least row of each is found by partial aggregation (``least_of_each``), so that no passage, however
+  common, gathers in a task.
+
+Blocks merge their own repeats before they send.  All tables between steps are written (``Scratch``), so a
+lost executor costs a task.
 """
 
 from __future__ import annotations
@@ -19,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.kernels import arrow_texts, splits
-from ridgeline.sources.scratch import Scratch
+from ridgeline.sources.scratch import Scratch, salted_join
 
 BLOCK_BYTES = 2 << 20
 BUCKET_BYTES = 5 << 20
+#: Buckets that packs go to in one step, and the bytes of packs that are dealt on at once.
+FAN, AGAIN_BYTES = 1024, 32 << 20
 LEAST = np.iinfo(np.int64).min
 
 
@@ -59,61 +70,101 @@ def pack_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array([int(offs[hi] - offs[lo])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["n_bytes", "packed"])
 
 
+def one(**columns) -> pa.RecordBatch:
+    """A batch of numpy arrays or Arrow arrays."""
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
+
+
+def numbers(scalar, name: str | None = None) -> np.ndarray:
+    """A list of numbers, or a field of a list of structs, as an array; null is empty."""
+    values = scalar.values
+    if values is None:
+        return np.zeros(0, np.int64)
+    return (values if name is None else values.field(name)).to_numpy(zero_copy_only=False)
+
+
 class Corpus:
     """Blocks of a documents table, and the number of buckets that suits their size."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES):
-        self.schema, self.scratch = docs.schema, scratch
+    def __init__(self, docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, fan: int = FAN):
+        self.schema, self.scratch, self.fan = docs.schema, scratch, fan
         made = docs.mapInArrow(lambda it: pack_blocks(it, block_bytes), "n_bytes long, packed binary")
         self.blocks = scratch.keep(made.select(F.monotonically_increasing_id().alias("block"), "n_bytes", "packed"), "none")
         total = self.blocks.agg(F.sum("n_bytes")).first()[0] or 0
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(parts, math.ceil(total / bucket_bytes))
 
-    def with_replies(self, replies: DataFrame | None) -> DataFrame:
-        if replies is None:
-            return self.blocks.select("block", "packed", F.lit(None).cast("array<struct<kind:int,bucket:int,payload:binary>>").alias("replies"))
-        mine = replies.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "payload")).alias("replies"))
-        return self.blocks.select("block", "packed").join(mine, "block", "left")
+    def each(self, make: Callable[..., Iterator[pa.RecordBatch]], schema, *tables: DataFrame) -> DataFrame:
+        """make(number, block, a value for each further column of the tables) for all blocks.  tables: a row a block, or none."""
+        df = self.blocks.select("block", "packed")
+        for t in tables:
+            df = df.join(t, "block", "left")
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield from make(batch.column(0)[i].as_py(), Block(batch.column(1)[i].as_buffer()), *(c[i] for c in batch.columns[2:]))
+
+        return df.mapInArrow(run, schema)
+
+    def shared(self, keys: Callable[[Block], np.ndarray], hot: int) -> DataFrame:
+        """block, shared, hot: the block's keys that occur more than once, and those in more than ``hot`` places."""
+
+        def rows(number, b):
+            u, n = np.unique(keys(b), return_counts=True)
+            yield one(block=np.full(len(u), number), key=u.view(np.int64), n=n.astype(np.int64))
 
-    def ask(self, question: Callable[[Block, list], Iterator[tuple[int, int, bytes]]], answer: Callable[[int, list[bytes]], list[bytes]], replies: DataFrame | None = None) -> DataFrame:
-        """One round.  question: a block and its earlier replies -> (kind, bucket, payload) each.
+        made = self.scratch.keep(self.each(rows, "block long, key long, n long"))
+        again = self.scratch.keep(made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot")))
+        found = made.select("block", "key").join(again, "key").groupBy("block")
+        out = self.scratch.keep(found.agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")))
+        self.scratch.drop(made, again)
+        return out
 
-        answer: a kind and its payloads in one bucket -> a reply to each, in their order.
-        """
+    def deal(self, question: Callable[..., dict], answer: Callable[[dict], pa.Table], schema: str, *tables: DataFrame) -> DataFrame:
+        """question(number, block, ...) -> arrays by row, among them key; answer(a bucket's arrays) -> rows of schema."""
+        buckets, per = self.buckets, math.ceil(self.buckets / self.fan)
 
-        def send(batches):
+        def packs(x: dict, per: int):
+            got = [(bucket, dump(**take(x, at))) for bucket, at in by_bucket(x["key"], buckets, per)]
+            return one(bucket=pa.array([g[0] for g in got], pa.int32()), payload=pa.array([g[1] for g in got], pa.binary()))
+
+        def split(batches):
+            held, size, of = [], 0, None
             for batch in batches:
-                for number, packed, got in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                    out = list(question(Block(packed.as_buffer()), got.as_py() or []))
-                    yield pa.RecordBatch.from_arrays([pa.array([number.as_py()] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["block", "kind", "bucket", "payload"])
+                for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if held and (bucket != of or size > AGAIN_BYTES):
+                        yield packs(together(held), 1)
+                        held, size = [], 0
+                    held.append(payload.as_py())
+                    of, size = bucket, size + len(held[-1])
+            if held:
+                yield packs(together(held), 1)
 
         def serve(table: pa.Table) -> pa.Table:
-            kinds = table.column("kind").to_numpy()
-            payloads = table.column("payload").to_pylist()
-            done: list = [None] * len(payloads)
-            for kind in np.unique(kinds).tolist():
-                at = np.flatnonzero(kinds == kind).tolist()
-                for k, x in zip(at, answer(kind, [payloads[k] for k in at]), strict=True):
-                    done[k] = x
-            return table.set_column(table.schema.get_field_index("payload"), "payload", pa.array(done, pa.binary()))
-
-        kind = "block long, kind int, bucket int, payload binary"
-        asked = self.with_replies(replies).mapInArrow(send, kind)
-        return self.scratch.keep(asked.groupBy("bucket").applyInArrow(serve, kind))
-
-    def finish(self, each: Callable[[Block, list], pa.RecordBatch], replies: DataFrame | None, schema) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for packed, got in zip(batch.column(1), batch.column(2), strict=True):
-                    yield each(Block(packed.as_buffer()), got.as_py() or [])
+            return answer(together(table.column("payload").to_pylist()))
 
-        return self.with_replies(replies).mapInArrow(run, schema)
+        kind = "bucket int, payload binary"
+        dealt = self.each(lambda *a: iter([packs(question(*a), per)]), kind, *tables)
+        if per > 1:
+            dealt = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(split, kind)
+        return self.scratch.keep(dealt.groupBy("bucket").applyInArrow(serve, schema))
 
+    def least_of_each(self, rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        """rows that aren't the least of their kind, with that one's columns in the struct ``first``."""
+        rows = self.scratch.keep(rows)
+        least = rows.groupBy(*by).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+        both = salted_join(rows, least, by, "block")
+        return both.filter(F.struct(*(F.col(f"first.{c}") for c in order)) != F.struct(*order))
 
-def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, indices of its keys), for each bucket that has some."""
-    to = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    def by_block(self, rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        """block, and a list of structs of the columns of its rows."""
+        return rows.groupBy("block").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def by_bucket(keys: np.ndarray, buckets: int, per: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices of its keys), for each bucket, or each ``per`` of them, that has some."""
+    to = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) // per
     order = np.argsort(to, kind="stable")
     cuts = np.flatnonzero(np.diff(to[order])) + 1
     for part in np.split(order, cuts):
@@ -121,6 +172,17 @@ def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]
             yield int(to[part[0]]), part
 
 
+def take(x: dict[str, np.ndarray], at: np.ndarray) -> dict[str, np.ndarray]:
+    """Some rows.  An array whose name starts with _ holds ``size`` items for each row."""
+    out = {k: v[at] for k, v in x.items() if k[0] != "_"}
+    if len(out) < len(x):
+        size = x["size"].astype(np.int64)
+        begin, n = np.cumsum(size) - size, size[at]
+        flat = np.repeat(begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out |= {k: v[flat] for k, v in x.items() if k[0] == "_"}
+    return out
+
+
 def dump(**arrays: np.ndarray) -> bytes:
     """Arrays as one compressed payload."""
     head = repr([(k, v.dtype.str, len(v)) for k, v in arrays.items()]).encode()
@@ -140,42 +202,10 @@ def load(payload: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def together(payloads: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """All payloads' arrays concatenated, and the bounds of each payload's rows (of its first array)."""
+def together(payloads: list[bytes]) -> dict[str, np.ndarray]:
+    """All payloads' arrays concatenated."""
     parts = [load(x) for x in payloads]
-    names = list(parts[0])
-    return {k: np.concatenate([p[k] for p in parts]) for k in names}, np.cumsum([0, *(len(p[names[0]]) for p in parts)])
-
-
-#: Flags of an anchor that the first round gives.
-LONE, SHARED, HOT = 0, 1, 2
-
-
-def ask_counts(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """A question of the first round: the block's distinct keys with how often it has each (255 at most)."""
-    u, n = np.unique(keys, return_counts=True)
-    for bucket, part in by_bucket(u, buckets):
-        yield 0, bucket, u[part].tobytes() + np.minimum(n[part], 255).astype(np.uint8).tobytes()
-
-
-def answer_counts(payloads: list[bytes], hot: int) -> list[bytes]:
-    sizes = [len(x) // 9 for x in payloads]
-    keys = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(payloads, sizes, strict=True)])
-    n = np.concatenate([np.frombuffer(x, np.uint8, n, 8 * n) for x, n in zip(payloads, sizes, strict=True)])
-    _, inverse = np.unique(keys, return_inverse=True)
-    total = np.bincount(inverse, n)[inverse]
-    flags = (total >= 2).astype(np.uint8) + (total > hot)
-    return [x.tobytes() for x in np.split(flags, np.cumsum(sizes)[:-1])]
-
-
-def read_counts(keys: np.ndarray, buckets: int, replies: list) -> np.ndarray:
-    """The flag of each key, from the replies to ask_counts."""
-    u, inverse = np.unique(keys, return_inverse=True)
-    got = {r["bucket"]: r["payload"] for r in replies if r["kind"] == 0}
-    flags = np.zeros(len(u), np.uint8)
-    for bucket, part in by_bucket(u, buckets):
-        flags[part] = np.frombuffer(got[bucket], np.uint8)
-    return flags[inverse]
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
 def first_of_each(keys: tuple[np.ndarray, ...], rank: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,15 +4,16 @@ Equal windows of ``width`` bytes hold the same *anchor*, the ``gram``-byte strin
 them, at the same offset.  So only one suffix in about 26 has to be sorted, the one at an anchor,
 and anchors meet those of equal content.
 
-1. Blocks tell buckets their anchors; a bucket answers which occur again and which are hot.
+1. Anchors are counted; blocks learn which of theirs occur again and which are hot.
 2. For an anchor that occurs again, a block sends its context (the windows it is the anchor of).  The
    bucket sorts the contexts' suffixes, rightwards from the anchor and leftwards from it, by
    mergesort.  Two suffixes are compared by their longest common prefix, found by binary search over
    prefix polynomial hashes.  Neighbours' common prefixes are then verified byte by byte; on a
    collision the sort is done again with another base.  Windows are equal where both common
    extensions suffice; all but the earliest go.
-3. Anchors with over ``hot`` contexts are dealt out by whole windows instead (two independent
-   64-bit hashes), so that no passage, however common, gathers in one task.
+3. Contexts of an anchor that over ``hot`` of them share are split into their windows, each a suffix cut at
+   100 bytes.  A block compares its own byte by byte and sends one of each, with the BLAKE2b digest
+   of its bytes (128 bits); the earliest of each digest is found by partial aggregation.
 
 Rows are ordered by (doc_id, CRC-32 of text), a null doc_id first; null text is empty; matches
 never cross rows; an empty table gives an empty table.  All other columns pass unchanged.
@@ -21,11 +22,10 @@ never cross rows; an empty table gives an empty table.  All other columns pass u
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridgeline.llm import rounds
@@ -34,7 +34,7 @@ from ridgeline.llm.rounds import Block, Corpus, first_of_each
 from ridgeline.sources.scratch import Scratch
 
 WIDTH, GRAM, HOT = 100, 50, 1024
-CODES, CODES2 = byte_codes(11), byte_codes(12)
+CODES = byte_codes(11)
 BASES = (BASE, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 
 
@@ -73,36 +73,33 @@ class Anchors:
         self.reps = np.sort(np.concatenate([order[lead], rest[~equal]]))
 
 
-def contexts(b: Block, a: Anchors, which: np.ndarray, width: int) -> bytes:
+def contexts(number: int, b: Block, a: Anchors, which: np.ndarray, width: int) -> dict:
+    """Rows of runs that go on, each with the bytes of its windows."""
     span = (a.n[which] + width - 1).astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(span)])
     flat = np.repeat(a.first[which] - begin[:-1], span) + np.arange(begin[-1])
     doc = a.doc[which]
-    return rounds.dump(key=a.key[which], content=a.content[which], doc=b.ids[doc], tie=b.ties[doc], start=(a.first[which] - b.offs[doc]).astype(np.uint32), local=a.first[which].astype(np.uint32), off=a.off[which].astype(np.uint8), n=a.n[which].astype(np.uint8), text=b.buf[flat])
+    return dict(key=a.key[which], block=np.full(len(which), number), doc=b.ids[doc], tie=b.ties[doc], start=(a.first[which] - b.offs[doc]).astype(np.uint32), local=a.first[which].astype(np.uint32), off=a.off[which].astype(np.uint8), n=a.n[which].astype(np.uint8), size=span.astype(np.uint16), _text=b.buf[flat])
 
 
-def hot_windows(b: Block, a: Anchors, flags: np.ndarray, width: int):
-    """Windows of hot anchors, their two hashes, and their order by content with the block's first of each."""
-    hot = a.reps[flags == rounds.HOT]
-    n = a.n[hot]
-    at = np.repeat(a.first[hot] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    one = mix(a.hashes.span(at, at + width))
-    two = mix(PrefixHash(CODES2[b.buf], BASES[1]).span(at, at + width)) if len(at) else one
-    return at, one, two, *first_of_each((two, one), (at, b.rank[b.doc_of(at)]))
+def hot_windows(b: Block, a: Anchors, hot: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of hot anchors: the block's first of each content, and the others, compared with it byte by byte."""
+    runs = a.reps[np.isin(a.key[a.reps], hot)]
+    n = a.n[runs]
+    at = np.repeat(a.first[runs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    order, lead = first_of_each((mix(a.hashes.span(at, at + width)),), (at, b.rank[b.doc_of(at)]))
+    head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))] if len(order) else order
+    rest = order[~lead]
+    equal = same_bytes(b.buf, at[rest], b.buf, at[head[~lead]], np.full(len(rest), width))
+    return np.concatenate([at[order[lead]], at[rest[~equal]]]), at[rest[equal]]
 
 
-def question(b: Block, replies: list, buckets: int, width: int, gram: int) -> Iterator[tuple[int, int, bytes]]:
-    a = Anchors(b, width, gram)
-    flags = rounds.read_counts(a.key[a.reps], buckets, replies)
-    some = a.reps[flags == rounds.SHARED]
-    for bucket, part in rounds.by_bucket(a.key[some], buckets):
-        yield 1, bucket, contexts(b, a, some[part], width)
-    at, one, two, order, lead = hot_windows(b, a, flags, width)
-    keep = order[lead]
-    for bucket, part in rounds.by_bucket(one[keep], buckets):
-        k = keep[part]
-        doc = b.doc_of(at[k])
-        yield 2, bucket, rounds.dump(one=one[k], two=two[k], doc=b.ids[doc], tie=b.ties[doc], start=(at[k] - b.offs[doc]).astype(np.uint32), local=at[k].astype(np.uint32))
+def hot_rows(number: int, b: Block, a: Anchors, hot: np.ndarray, width: int) -> pa.RecordBatch:
+    """A row for each different window of hot anchors, with the BLAKE2b digest of its bytes."""
+    at, _ = hot_windows(b, a, hot, width)
+    doc = b.doc_of(at)
+    digest = np.frombuffer(b"".join(hashlib.blake2b(b.data[x : x + width], digest_size=16).digest() for x in at.tolist()), np.int64).reshape(-1, 2)
+    return rounds.one(block=np.full(len(at), number), d1=digest[:, 0].copy(), d2=digest[:, 1].copy(), doc=b.ids[doc], tie=b.ties[doc].astype(np.int64), start=at - b.offs[doc], local=at)
 
 
 def common(h: PrefixHash, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -176,8 +173,10 @@ def repeated(x: dict[str, np.ndarray], width: int) -> np.ndarray:
     n = x["n"].astype(np.int64)
     span = n + width - 1
     begin = np.cumsum(span) - span
+    x["text"] = x["_text"]
+    x["content"] = mix(PrefixHash(CODES[x["text"]]).span(begin, begin + span) + mix(x["n"].astype(U64) * U64(256) + x["off"].astype(U64)))
     rank = np.empty(len(n), np.int64)
-    rank[np.lexsort((x["local"], x["start"], x["tie"], x["doc"]))] = np.arange(len(n))
+    rank[np.lexsort((x["local"], x["block"], x["start"], x["tie"], x["doc"]))] = np.arange(len(n))
     order, lead = first_of_each((x["content"], x["key"]), (rank,))
     head = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     rest = np.flatnonzero(~lead)
@@ -215,41 +214,24 @@ def repeated(x: dict[str, np.ndarray], width: int) -> np.ndarray:
     return masks
 
 
-def answer(kind: int, payloads: list[bytes], width: int, hot: int) -> list[bytes]:
-    if kind == 0:
-        return rounds.answer_counts(payloads, hot)
-    x, bounds = rounds.together(payloads)
-    if kind == 1:
-        # The contexts' bytes are the last array: only the rows' arrays are cut again.
-        masks = repeated(x, width)
-        some = [(x["local"][a:b], x["n"][a:b], masks[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return [rounds.dump(local=p[m > 0], n=n[m > 0], mask=m[m > 0]) for p, n, m in some]
-    order, lead = first_of_each((x["two"], x["one"]), (x["local"], x["start"], x["tie"], x["doc"]))
-    again = np.zeros(len(order), bool)
-    again[order[~lead]] = True
-    return [rounds.dump(local=x["local"][a:b][again[a:b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+def answer(x: dict, width: int) -> pa.Table:
+    masks = repeated(x, width)
+    at = np.flatnonzero(masks)
+    return pa.Table.from_batches([rounds.one(block=x["block"][at], local=x["local"][at].astype(np.int64), n=x["n"][at].astype(np.int64), mask=masks[at].view(np.int64))])
 
 
-def covered(b: Block, replies: list, buckets: int, width: int, gram: int) -> np.ndarray:
+def covered(b: Block, hot, found, width: int, gram: int) -> np.ndarray:
     """Which bytes of the block go."""
     a = Anchors(b, width, gram)
     gone = np.zeros(len(b.buf) + width + 1, bool)  # by window
     n = a.n[a.spare]
     gone[np.repeat(a.first[a.spare] - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
-    flags = rounds.read_counts(a.key[a.reps], buckets, replies)
-    if (flags == rounds.HOT).any():
-        at, _, _, order, lead = hot_windows(b, a, flags, width)
-        gone[at[order[~lead]]] = True
-    for r in replies:
-        if r["kind"] == 0:
-            continue
-        got = rounds.load(r["payload"])
-        at = got["local"].astype(np.int64)
-        if r["kind"] == 2:
-            gone[at] = True
-            continue
-        for bit in range(int(got["n"].max(initial=0))):
-            gone[at[(got["mask"] >> U64(bit)) & U64(1) == 1] + bit] = True
+    hot = rounds.numbers(hot).view(U64)
+    if len(hot):
+        gone[hot_windows(b, a, hot, width)[1]] = True
+    at, n, mask = rounds.numbers(found, "local"), rounds.numbers(found, "n"), rounds.numbers(found, "mask").view(U64)
+    for bit in range(int(n.max(initial=0))):
+        gone[at[(mask >> U64(bit)) & U64(1) == 1] + bit] = True
     edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
     flow = np.zeros(len(b.buf) + 2 * width + 2, np.int32)
     np.add.at(flow, np.flatnonzero(edge == 1), 1)
@@ -260,16 +242,28 @@ def covered(b: Block, replies: list, buckets: int, width: int, gram: int) -> np.
 def mark(docs: DataFrame, scratch: Scratch, each, schema, width: int = WIDTH, gram: int = GRAM, hot: int = HOT, **sizes) -> DataFrame:
     """Runs the rounds; each(block, mask of removed bytes) makes the rows of a block."""
     corpus = Corpus(docs, scratch, **sizes)
-    buckets = corpus.buckets
 
-    def keys(b, _):
+    def keys(b: Block) -> np.ndarray:
         a = Anchors(b, width, gram)
-        yield from rounds.ask_counts(a.key[a.reps], buckets)
+        return a.key[a.reps]
 
-    serve = lambda kind, payloads: answer(kind, payloads, width, hot)
-    flags = corpus.ask(keys, serve)
-    found = corpus.ask(lambda b, r: question(b, r, buckets, width, gram), serve, flags)
-    return corpus.finish(lambda b, r: each(b, covered(b, r, buckets, width, gram)), flags.unionByName(found), schema)
+    def question(number, b, shared, _):
+        a = Anchors(b, width, gram)
+        return contexts(number, b, a, a.reps[np.isin(a.key[a.reps], rounds.numbers(shared).view(U64))], width)
+
+    def hottest(number, b, _, hot):
+        hot = rounds.numbers(hot).view(U64)
+        if len(hot):
+            yield hot_rows(number, b, Anchors(b, width, gram), hot, width)
+
+    flags = corpus.shared(keys, hot)
+    found = corpus.deal(question, lambda x: answer(x, width), "block long, local long, n long, mask long", flags)
+    if not flags.filter("size(hot) > 0").isEmpty():
+        windows = corpus.each(hottest, "block long, d1 long, d2 long, doc long, tie long, start long, local long", flags.filter("size(hot) > 0"))
+        again = corpus.least_of_each(windows, ["d1", "d2"], ["doc", "tie", "start", "block", "local"])
+        found = found.unionByName(scratch.keep(again.select("block", "local", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("mask"))))
+    found = corpus.by_block(found, "found", "local", "n", "mask")
+    return corpus.each(lambda _, b, hot, found: iter([each(b, covered(b, hot, found, width, gram))]), schema, flags.select("block", "hot"), found)
 
 
 def spans_of(b: Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -64,6 +64,37 @@ def test_paths_and_edges(spark):
     t = " ".join(f"v{k}" for k in range(50))
     df = spark.createDataFrame([(1, t, 0), (2, "q " + t, 1), (3, t + " z", 2), (None, None, 3), (7, "", 4)], "doc_id long, text string, n long")
     out = debruijn.report(df)
-    assert [tuple(r) for r in debruijn.paths(out).collect()] == [(1, 0, 50, 2)]
+    assert [tuple(r) for r in debruijn.repeated_paths(out).collect()] == [(1, 0, 50, 2)]
     assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 50, 3: 50, None: 0, 7: 0}
     assert debruijn.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(2048)
+    rest = " " + " ".join(f"t{k}" for k in range(19))
+    df = spark.createDataFrame([(1, a + rest), (2, b + rest), (3, b + rest)], "doc_id long, text string")
+    for hot in (1024, 0):
+        for block in (100, 1 << 20):
+            out = {r.doc_id: r.n_removed for r in debruijn.report(df, hot=hot, block_bytes=block).collect()}
+            assert out == {1: 0, 2: 0, 3: 20}
+
+
+def test_collisions_are_found_at_the_source(spark):
+    rows = corpus(77, 25)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = debruijn.report(df, trust=3, block_bytes=900).collect()  # nearly all windows collide at first
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows)
+
+
+def test_packs_dealt_twice_and_clashing_columns(spark):
+    rows = corpus(5, 40)
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, block long, packed int").repartition(3)
+    out = debruijn.report(df, block_bytes=700, bucket_bytes=300, fan=4).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows)

@@ -81,3 +81,18 @@ def test_repeated_rows(spark):
     rows = [(5, "w" * 40 + "0123456789" * 20)] * 3
     out = got(suffix_dedup.report(frame(spark, rows, 1)))
     assert sorted(x[2] for x in out)[1:] == [240, 240] and sorted(x[2] for x in out)[0] < 240
+
+
+def test_bytes_that_polynomial_hashes_confuse(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, "x" + a[:1024]), (2, "y" + b[:1024]), (3, "z" + a[:1024]), (4, "q" + b + "r")]
+    for hot in (1024, 0):
+        assert got(suffix_dedup.report(frame(spark, rows), hot=hot, block_bytes=900)) == brute(rows, 100)
+
+
+def test_packs_dealt_twice(spark):
+    rows = corpus(8, 40)
+    assert got(suffix_dedup.report(frame(spark, rows), block_bytes=1500, bucket_bytes=400, fan=5)) == brute(rows, 100)
