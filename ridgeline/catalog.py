@@ -13,8 +13,8 @@ from ridgeline.config import Config
 from ridgeline.functions import panels
 from ridgeline.functions.describe import describe
 from ridgeline.operators import features as feature_ops
-from ridgeline.operators import fields, flow, kernels, relations, synth
-from ridgeline.operators.graphs import at_least, components, radius_join, suppress
+from ridgeline.operators import fields, flow, kernels, relations, stencils, synth
+from ridgeline.operators.graphs import at_least, components, radius_join, settle, suppress
 from ridgeline.plans import oracle as o
 from ridgeline.plans import shell
 from ridgeline.plans.query import Query, by_prefix, ping, ping_from
@@ -50,13 +50,17 @@ def heights(spark, sf_dir) -> DataFrame:
     return fields.blur(fields.calibrate(grids.hills(spark, sf_dir), CFG), "z", CFG.noise_reduction_sigma)
 
 
-def curved(spark, sf_dir) -> DataFrame:
-    return fields.curvature(fields.slope_aspect(fields.gradient(heights(spark, sf_dir), CFG), CFG), CFG)
+def curved(spark, sf_dir, **more) -> DataFrame:
+    return fields.derived(fields.calibrate(grids.hills(spark, sf_dir), CFG), CFG, **more)
 
 
 def classified(spark, sf_dir) -> DataFrame:
-    df = curved(spark, sf_dir)
-    return fields.classify(df, fields.epsilons(df, CFG))
+    return fields.classified(curved(spark, sf_dir), CFG)
+
+
+def smoothed(spark, sf_dir, *steps, cfg: Config = CFG) -> DataFrame:
+    """Blurred heights, with what further steps make of them."""
+    return stencils.apply(fields.calibrate(grids.hills(spark, sf_dir), cfg), stencils.blur("z", cfg.noise_reduction_sigma), *steps)
 
 
 @query("input_validation", f"WITH {grids.HILLS} SELECT map_id, max(y) + 1 AS h, max(x) + 1 AS w, count(*) AS n, count(*) = (max(y) + 1) * (max(x) + 1) AND min(gray) >= 0 AND max(gray) <= 255 AS valid FROM hills GROUP BY map_id")
@@ -104,17 +108,17 @@ def elevation_at(spark, sf_dir):
 
 @query("gradient_central", o.chain(4, "", f"SELECT map_id, y, x, {o.r('dz_dx', 'dz_dx')}, {o.r('dz_dy', 'dz_dy')} FROM gr"))
 def gradient_central(spark, sf_dir):
-    return fields.gradient(heights(spark, sf_dir), CFG).select(*PX, rounded("dz_dx"), rounded("dz_dy"))
+    return smoothed(spark, sf_dir, fields.gradient_step(CFG)).select(*PX, rounded("dz_dx"), rounded("dz_dy"))
 
 
 @query("gradient_sobel", o.chain(3, o.SOBEL, f"SELECT map_id, y, x, {o.r('dz_dx', 'dz_dx')}, {o.r('dz_dy', 'dz_dy')} FROM sq"))
 def gradient_sobel(spark, sf_dir):
-    return fields.gradient(heights(spark, sf_dir), replace(CFG, gradient_method="sobel")).select(*PX, rounded("dz_dx"), rounded("dz_dy"))
+    return smoothed(spark, sf_dir, fields.gradient_step(replace(CFG, gradient_method="sobel"))).select(*PX, rounded("dz_dx"), rounded("dz_dy"))
 
 
 @query("slope_aspect", o.chain(5, "", f"SELECT map_id, y, x, {o.r('slope', 'slope')}, {o.r('aspect', 'aspect', 4)} FROM sa"))
 def slope_aspect(spark, sf_dir):
-    return fields.slope_aspect(fields.gradient(heights(spark, sf_dir), CFG), CFG).select(*PX, rounded("slope"), rounded("aspect", 4))
+    return fields.slope_aspect(smoothed(spark, sf_dir, fields.gradient_step(CFG)), CFG).select(*PX, rounded("slope"), rounded("aspect", 4))
 
 
 @query("curvature_hk", o.chain(6, "", f"SELECT map_id, y, x, {o.r('h_curv', 'h_curv', 8)}, {o.r('k_curv', 'k_curv', 8)} FROM cu"))
@@ -124,7 +128,7 @@ def curvature_hk(spark, sf_dir):
 
 @query("curvature_epsilon", o.chain(7, "", f"SELECT map_id, {o.r('eps_h', 'eps_h', 9)}, {o.r('eps_k', 'eps_k', 9)} FROM ep"))
 def curvature_epsilon(spark, sf_dir):
-    return fields.epsilons(curved(spark, sf_dir), CFG).select("map_id", rounded("eps_h", 9), rounded("eps_k", 9))
+    return fields.epsilons(settle(curved(spark, sf_dir)), CFG).select("map_id", rounded("eps_h", 9), rounded("eps_k", 9))
 
 
 @query("curvature_class_counts", o.chain(8, "", "SELECT map_id, curvature_type, count(*) AS n FROM cl GROUP BY map_id, curvature_type"))
@@ -139,7 +143,7 @@ def curvature_mask(spark, sf_dir):
 
 @query("k_confidence", o.chain(6, "p9 AS (SELECT map_id, quantile_cont(abs(k_curv), 0.9) AS p FROM cu WHERE k_curv <> 0 GROUP BY map_id)", f"SELECT map_id, y, x, {o.r('greatest(0.0, least(1.0, abs(k_curv) / greatest(coalesce(p, 1.0), 1e-8)))', 'k_confidence')} FROM cu LEFT JOIN p9 USING (map_id)"))
 def k_confidence(spark, sf_dir):
-    return fields.k_confidence(curved(spark, sf_dir)).select(*PX, rounded("k_confidence"))
+    return fields.k_confidence(settle(curved(spark, sf_dir))).select(*PX, rounded("k_confidence"))
 
 
 _R = CFG.prominence_radius_px
@@ -147,25 +151,22 @@ _R = CFG.prominence_radius_px
 
 @query("prominence", o.chain(3, f"lo AS (SELECT *, min(z) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN {_R} PRECEDING AND {_R - 1} FOLLOWING) AS a FROM zz), l2 AS (SELECT *, min(a) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN {_R} PRECEDING AND {_R - 1} FOLLOWING) AS b FROM lo)", f"SELECT map_id, y, x, {o.r('z - b', 'relief')} FROM l2"))
 def prominence(spark, sf_dir):
-    return fields.prominence(heights(spark, sf_dir), CFG).select(*PX, rounded("relief"))
+    df = smoothed(spark, sf_dir, *fields.relief_steps(CFG))
+    return df.withColumn("relief", F.col("z") - F.col("_low")).select(*PX, rounded("relief"))
 
 
 @query("strict_maxima", f"WITH {grids.HILLS} SELECT a.map_id, a.y, a.x FROM hills a JOIN hills b ON a.map_id = b.map_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.map_id, a.y, a.x HAVING count(CASE WHEN b.gray >= a.gray THEN 1 END) = 1")
 def strict_maxima(spark, sf_dir):
-    px = grids.hills(spark, sf_dir)
-    near = [F.lag("gray", i).over(fields.along("x")) if i > 0 else F.lead("gray", -i).over(fields.along("x")) for i in (1, -1)]
-    px = px.withColumn("row_top", F.greatest(F.col("gray"), *(F.coalesce(c, F.lit(-1)) for c in near))).withColumn("side", F.greatest(*(F.coalesce(c, F.lit(-1)) for c in near)))
-    up, down = F.lag("row_top").over(fields.along("y")), F.lead("row_top").over(fields.along("y"))
-    return px.withColumn("ring", F.greatest(F.col("side"), F.coalesce(up, F.lit(-1)), F.coalesce(down, F.lit(-1)))).filter("gray > ring").select(*PX)
+    return stencils.apply(grids.hills(spark, sf_dir), stencils.strict_top("gray", "top")).filter("top = 1").select(*PX)
 
 
 @query("roughness", o.chain(3, o.ROUGH.format(source="zz"), f"SELECT map_id, y, x, {o.r('variance', 'variance', 4)} FROM ro"))
 def roughness(spark, sf_dir):
-    return fields.roughness(heights(spark, sf_dir)).select(*PX, rounded("variance", 4))
+    return smoothed(spark, sf_dir, stencils.variance("z", "variance")).select(*PX, rounded("variance", 4))
 
 
 def priced(spark, sf_dir, function: str, unit: str = "time") -> DataFrame:
-    return fields.cost(fields.roughness(curved(spark, sf_dir)), CFG, function, unit)
+    return fields.cost(curved(spark, sf_dir, rough=True), CFG, function, unit)
 
 
 for _name, _function, _unit in (("tobler", "tobler", "time"), ("vehicle", "vehicle_quadratic", "time"), ("energy", "tobler", "energy"), ("risk", "tobler", "risk")):
@@ -182,7 +183,7 @@ _LIGHT = "(-6.0::DOUBLE * dz_dx * (cos(radians(-225.0::DOUBLE)) * cos(radians(45
 
 @query("hillshade", o.chain(4, f"li AS (SELECT map_id, y, x, {_LIGHT} AS l FROM gr), lr AS (SELECT map_id, min(l) AS a, max(l) AS b FROM li GROUP BY map_id)", f"SELECT map_id, y, x, {o.r('greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN b - a > 1e-6 THEN (l - a) / (b - a) ELSE l END))', 'shade')} FROM li JOIN lr USING (map_id)"))
 def hillshade(spark, sf_dir):
-    return fields.hillshade(fields.gradient(heights(spark, sf_dir), CFG), CFG).select(*PX, rounded("shade"))
+    return fields.hillshade(smoothed(spark, sf_dir, fields.gradient_step(CFG)), CFG).select(*PX, rounded("shade"))
 
 
 @query("curvature_panel", o.chain(6, "", f"SELECT map_id, y, x, {o.r('greatest(-0.02, least(0.02, h_curv))', 'h_shown')} FROM cu"))
@@ -192,7 +193,7 @@ def curvature_panel(spark, sf_dir):
 
 @query("traversability", o.chain(5, "", "SELECT map_id, CASE WHEN slope > 45 THEN 'BLOCKED' WHEN slope > 25 THEN 'DIFFICULT' ELSE 'FREE' END AS class, count(*) AS n FROM sa GROUP BY ALL"))
 def traversability(spark, sf_dir):
-    df = fields.slope_aspect(fields.gradient(heights(spark, sf_dir), CFG), CFG)
+    df = fields.slope_aspect(smoothed(spark, sf_dir, fields.gradient_step(CFG)), CFG)
     return df.groupBy("map_id", fields.traversability(F.col("slope"), CFG).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -350,12 +351,12 @@ def id_prefix(spark, sf_dir):
 
 @query("describe_brief", o.described(True))
 def describe_brief(spark, sf_dir):
-    return truth(spark, sf_dir).filter("feature_type <> 'peak' or prominence is not null").select("feature_id", describe(CFG, True).alias("description"))
+    return truth(spark, sf_dir).select("feature_id", describe(CFG, True).alias("description"))
 
 
 @query("describe_full", o.described(False))
 def describe_full(spark, sf_dir):
-    return truth(spark, sf_dir).filter("feature_type <> 'peak' or prominence is not null").select("feature_id", describe(CFG).alias("description"))
+    return truth(spark, sf_dir).select("feature_id", describe(CFG).alias("description"))
 
 
 @query("stat", f"WITH RECURSIVE {grids.HILLS}, {o.TRUTH}, {o.NEAR}, {o.FLOW} SELECT (SELECT max(x) + 1 FROM hills) AS w, (SELECT max(y) + 1 FROM hills) AS h, {o.r('(SELECT min(gray) * 0.492::DOUBLE + 0.1::DOUBLE FROM hills)', 'low')}, {o.r('(SELECT max(gray) * 0.492::DOUBLE + 0.1::DOUBLE FROM hills)', 'high')}, count(*) FILTER (feature_type = 'peak') AS peaks, count(*) FILTER (feature_type = 'ridge') AS ridges, count(*) FILTER (feature_type = 'valley') AS valleys, count(*) FILTER (feature_type = 'saddle') AS saddles, count(*) FILTER (feature_type = 'flat_zone') AS flat_zones, (SELECT count(*) // 2 FROM near) AS visibility_pairs, (SELECT count(*) FROM fl) AS flow_edges, count(DISTINCT (map_id, seq % 3)) AS watersheds, (SELECT count(*) // 2 FROM near) AS connectivity_edges FROM truth")
@@ -488,8 +489,8 @@ def self_test(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest strict maxima of the smoothed hills by local relief."""
-    df = fields.prominence(heights(spark, sf_dir), CFG)
-    top = fields.box(df, "z", -1, 1, F.max, "top").filter("z = top")
+    df = smoothed(spark, sf_dir, *fields.relief_steps(CFG), stencils.box("z", -1, 1, "max", "top"))
+    top = df.withColumn("relief", F.col("z") - F.col("_low")).filter("z = top")
     rows = top.select("map_id", F.col("y").cast("long").alias("seq"), F.lit("peak").alias("feature_type"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("relief").alias("prominence"))
     t = SimpleNamespace(features=rows.withColumn("feature_id", F.sha2(F.concat_ws("|", "map_id", "cx", "cy"), 256)))
     return Query(t).select("peak").where(prominence__gt=10).order_by("prominence", descending=True).limit(5).to_df()

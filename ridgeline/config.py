@@ -49,6 +49,7 @@ class Config:
     ridge_visibility_scale: float = 0.8
     stream_accumulation_threshold_px: int = 120
     feature_snap_distance_px: float = 20.0
+    snap_method: str = "nearest"
     connection_radius_m: float = 40.0
     vehicle_climb_angle: float = 25.0
     cliff_threshold_degrees: float = 45.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.config import Config
@@ -37,7 +37,7 @@ def ordinal(n: Column) -> Column:
 
 
 def describe(cfg: Config = Config(), brief: bool = False, elevation: Column | None = None, peaks: Column | None = None, stream_order: Column | None = None) -> Column:
-    """Text about a row of features.
+    """Text about a row of features; a value that is null counts as unknown, or is left out of a sentence as 0.
 
     elevation: of its centroid (elev_max unless given); peaks: how many it connects (0); stream_order: of a valley (1).
     """
@@ -60,13 +60,21 @@ def describe(cfg: Config = Config(), brief: bool = False, elevation: Column | No
     saddle_peaks = F.when(peaks == 0, " providing passage between surrounding areas").otherwise(F.concat(F.lit(" connecting "), peaks.cast("string"), F.lit(" surrounding high points")))
     slopes = quantify("slope", slope)
     tails = {
-        "peak": F.concat(F.lit(" rising "), format_metres(F.col("prominence")), F.lit(" above "), reference, F.lit(" with "), slopes, F.lit(" slopes")),
+        "peak": F.concat(F.lit(" rising "), format_metres(F.coalesce("prominence", F.lit(0.0))), F.lit(" above "), reference, F.lit(" with "), slopes, F.lit(" slopes")),
         "valley": F.concat(F.lit(" with "), slopes, F.lit(" floor slopes"), stream),
         "ridge": F.concat(F.lit(" with "), slopes, F.lit(" slopes"), ridge_peaks),
-        "saddle": F.concat(F.lit(" at "), format_metres(elevation), F.lit(" elevation"), saddle_peaks),
-        "flat_zone": F.concat(F.lit(" spanning "), format_metres(area), F.lit(" with "), slopes, F.lit(" slopes")),
+        "saddle": F.concat(F.lit(" at "), format_metres(F.coalesce(elevation, F.lit(0.0))), F.lit(" elevation"), saddle_peaks),
+        "flat_zone": F.concat(F.lit(" spanning "), format_metres(F.coalesce(area, F.lit(0.0))), F.lit(" with "), slopes, F.lit(" slopes")),
     }
     out = None
     for k, head in heads.items():
         out = (F if out is None else out).when(kind == k, head if brief else F.concat(head, tails[k]))
     return out.otherwise(F.concat(F.lit("[unknown feature type: "), kind, F.lit("]")))
+
+
+def described(features: DataFrame, cfg: Config = Config(), brief: bool = False) -> Column:
+    """describe for a table: by its columns elevation and connected_peaks, where it has them."""
+    have = set(features.columns)
+    elevation = F.coalesce("elevation", "elev_max") if "elevation" in have else None
+    peaks = F.coalesce(F.size("connected_peaks"), F.lit(0)) if "connected_peaks" in have else None
+    return describe(cfg, brief, elevation, F.greatest(peaks, F.lit(0)) if peaks is not None else None)

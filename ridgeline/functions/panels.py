@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgeline.operators.quantiles import quantiles
+from ridgeline.sources.scratch import Scratch
+
 
 def counts_by_type(features: DataFrame) -> DataFrame:
     kind = F.when(F.col("feature_type").isin("peak", "ridge", "valley", "saddle", "flat_zone"), F.col("feature_type")).otherwise("OTHER")
@@ -32,7 +35,8 @@ def clipped_curvature(df: DataFrame, most: float = 0.02) -> DataFrame:
 
 def cost_normalised(df: DataFrame) -> DataFrame:
     """Adds cost_norm: cost cut to the map's 5th to 95th percentile, from 0 to 1."""
-    by = df.groupBy("map_id").agg(F.percentile("cost", F.lit(0.05)).alias("_a"), F.percentile("cost", F.lit(0.95)).alias("_b"))
+    df = Scratch(df.sparkSession).keep(df)
+    by = quantiles(df, _a=(F.col("cost"), 0.05), _b=(F.col("cost"), 0.95))
     cut = F.greatest(F.col("_a"), F.least(F.col("_b"), F.col("cost")))
     return df.join(by, "map_id").withColumn("cost_norm", F.when(F.col("_b") > F.col("_a"), (cut - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(F.lit(0.0))).drop("_a", "_b")
 

@@ -7,14 +7,15 @@ single types, null for the others.  seq numbers a map's features by type, then b
 from __future__ import annotations
 
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Config
-from ridgeline.operators import kernels
-from ridgeline.operators.fields import blur, box, k_confidence, prominence
+from ridgeline.operators import kernels, stencils
+from ridgeline.operators.fields import k_confidence, relief_steps
 from ridgeline.operators.flow import accumulation
-from ridgeline.operators.graphs import at_least, components, pixel_id, radius_join, settle, suppress
+from ridgeline.operators.graphs import LINE, at_least, components, numbered, pixel_id, radius_join, settle, suppress
 
 TYPES = ("peak", "ridge", "valley", "saddle", "flat_zone")
 EXTRA = {
@@ -23,43 +24,60 @@ EXTRA = {
 }
 
 
-def regional_maxima(df: DataFrame, z: str) -> DataFrame:
-    """map_id, y, x, label of plateaus (8-connected) with no higher neighbour, by the strictly rising rounds of a box maximum."""
-    top = box(df, z, -1, 1, F.max, "_top")
-    flat = settle(top.filter(F.col(z) == F.col("_top")).select("map_id", "y", "x", F.col(z).alias("v")))
-    # A pixel equal to the maximum around it may lie on a plateau that rises elsewhere.
-    touching = settle(top.select("map_id", "y", "x", F.col(z).alias("v"), (F.col("_top") > F.col(z)).alias("under")))
-    bad = touching.filter("under").select("map_id", "y", "x", "v")
-    while True:
-        a = flat.select("map_id", "y", "x", "v")
-        near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)))
-        around = bad.withColumn("o", near).select("map_id", (F.col("y") + F.col("o.j")).alias("y"), (F.col("x") + F.col("o.i")).alias("x"), "v").distinct()
-        hit = settle(a.join(around, ["map_id", "y", "x", "v"], "left_semi"))
-        if hit.isEmpty():
-            break
-        flat = settle(flat.join(hit, ["map_id", "y", "x"], "left_anti"))
-        bad = hit
-    return components(flat.select("map_id", "y", "x"))
+def plateau_step(column: str, out: str) -> stencils.Step:
+    """0 below a neighbour, 1 on top of all, 2 likewise but beside a pixel of the same height that has a higher neighbour."""
+
+    def work(f: stencils.Fields) -> None:
+        z = f[column]
+
+        def top(a):
+            wide = np.pad(np.where(np.isnan(a), -np.inf, a), 1, constant_values=-np.inf)
+            return np.max([wide[1 + dy : 1 + dy + z.shape[0], 1 + dx : 1 + dx + z.shape[1]] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
+
+        under = top(z) > z
+        f[out] = np.where(under, 0, 1 + (top(np.where(under, z, -np.inf)) == z))
+
+    return stencils.Step(2, (column,), (out,), work, "int")
+
+
+def regional_maxima(df: DataFrame, flat: str) -> DataFrame:
+    """map_id, y, x, label of plateaus (8-connected) with no higher neighbour, by what plateau_step made.
+
+    Neighbours that are both on top of all around them are of equal height.  So the 8-connected parts of such pixels are
+    whole plateaus, unless one of their pixels is beside one of the same height that isn't on top.
+    """
+    px = settle(df.filter(F.col(flat) > 0).select("map_id", "y", "x", F.col(flat).alias("flat")))
+    parts = settle(components(px, eight=True).join(px, ["map_id", "y", "x"]))
+    bad = parts.filter("flat = 2").select("map_id", "label").distinct()
+    return components(parts.join(bad, ["map_id", "label"], "left_anti").select("map_id", "y", "x"))
+
+
+def away_from_border(df: DataFrame, margin: int) -> DataFrame:
+    """Pixels at least ``margin`` from the map's edges; from the far ones, that many from the last pixel."""
+    size = df.groupBy("map_id").agg(F.max("x").alias("_w"), F.max("y").alias("_h"))  # a row a map
+    inside = F.col("x").between(F.lit(margin), F.col("_w") - margin) & F.col("y").between(F.lit(margin), F.col("_h") - margin)
+    return df.join(size, "map_id").filter(inside).drop("_w", "_h")
 
 
 def peaks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Summits of the smoothed surface whose surroundings are convex enough and that rise enough; box maxima where a map has none."""
-    df = settle(prominence(df, cfg).select("map_id", "y", "x", "z", "slope", "h_curv", "k_curv", "curvature_type", "relief"))
-    smooth = blur(df, "z", cfg.peak_smooth_sigma, "_s")
-    label = settle(regional_maxima(smooth, "_s"))
-    main = summits(df, at_least(label, cfg.min_peak_size_px), cfg)
-    inner, outer = max(2, int(cfg.annular_inner_m / 2)), max(10, int(cfg.annular_outer_m / 2))
+    steps = () if "relief" in df.columns else relief_steps(cfg)
+    df = stencils.apply(df, *steps, stencils.blur("z", cfg.peak_smooth_sigma, "_s"), plateau_step("_s", "_flat"), stencils.box("z", -3, 3, "max", "_top"))
+    df = df.withColumn("relief", F.col("z") - F.col("_low")) if steps else df
+    df = settle(df.select("map_id", "y", "x", "z", "slope", "curvature_type", "relief", "_flat", "_top"))
+    main = settle(summits(df, at_least(settle(regional_maxima(df, "_flat")), cfg.min_peak_size_px), cfg))
+    cell = cfg.horizontal_scale
+    inner, outer = max(2, int(cfg.annular_inner_m / cell)), max(10, int(cfg.annular_outer_m / cell))
     ring = [(i, j) for i in range(-outer, outer + 1) for j in range(-outer, outer + 1) if inner * inner <= i * i + j * j <= outer * outer]
     offsets = df.sparkSession.createDataFrame(ring, "dx int, dy int")
     spots = main.crossJoin(F.broadcast(offsets)).select("map_id", "label", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"))  # a fixed ring of offsets
     shares = spots.join(df.select("map_id", "y", "x", F.col("curvature_type").isin("CONVEX", "CYLINDRICAL_CONVEX").cast("double").alias("c")), ["map_id", "y", "x"]).groupBy("map_id", "label").agg(F.avg("c").alias("share"), F.count("*").alias("n"))
     good = main.join(shares, ["map_id", "label"]).filter((F.col("n") >= cfg.peak_min_shoulder_samples) & (F.col("share") >= cfg.peak_shoulder_convex_ratio) & (F.col("prominence") > cfg.peak_min_prominence_m))
     good = settle(good.drop("share", "n"))
-    m = cfg.border_margin_px
-    edge = Window.partitionBy("map_id")
-    spare = box(df, "z", -3, 3, F.max, "_top").withColumn("_w", F.max("x").over(edge)).withColumn("_h", F.max("y").over(edge))
-    spare = spare.filter((F.col("z") == F.col("_top")) & (F.col("x") >= m) & (F.col("y") >= m) & (F.col("x") <= F.col("_w") - m) & (F.col("y") <= F.col("_h") - m)).join(good.select("map_id").distinct(), "map_id", "left_anti")
-    second = summits(df, at_least(settle(components(spare.select("map_id", "y", "x"))), 2 * cfg.min_peak_size_px), cfg).filter(F.col("prominence") > cfg.peak_min_prominence_m)
+    spare = settle(away_from_border(df, cfg.border_margin_px).filter("z = _top").join(good.select("map_id").distinct(), "map_id", "left_anti").select("map_id", "y", "x"))
+    if spare.isEmpty():
+        return good
+    second = summits(df, at_least(settle(components(spare)), 2 * cfg.min_peak_size_px), cfg).filter(F.col("prominence") > cfg.peak_min_prominence_m)
     return good.unionByName(second)
 
 
@@ -103,9 +121,7 @@ def lines(df: DataFrame, cfg: Config, kinds: tuple[str, ...], ridge: bool) -> Da
 
 def saddles(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Saddle pixels away from the border and above the sea, thinned out by strength, then by strength and confidence."""
-    m, edge = cfg.border_margin_px, Window.partitionBy("map_id")
-    px = k_confidence(df).withColumn("_w", F.max("x").over(edge)).withColumn("_h", F.max("y").over(edge))
-    px = px.filter((F.col("curvature_type") == "SADDLE") & F.col("x").between(F.lit(m), F.col("_w") - m) & F.col("y").between(F.lit(m), F.col("_h") - m) & (F.col("z") > cfg.sea_level_offset + 1.0))
+    px = away_from_border(k_confidence(df), cfg.border_margin_px).filter((F.col("curvature_type") == "SADDLE") & (F.col("z") > cfg.sea_level_offset + 1.0))
     px = settle(px.select("map_id", pixel_id().alias("id"), "x", "y", F.abs("k_curv").alias("strength"), "k_confidence", "z", "slope"))
     kept = px.join(suppress(px, cfg.nms_radius_px), ["map_id", "id"]).filter((F.col("strength") >= cfg.saddle_k_min_threshold) & (F.col("k_confidence") >= cfg.saddle_confidence_threshold))
     return kept.select("map_id", F.col("id").alias("label"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("elev_min"), F.col("z").alias("elev_max"), F.col("k_confidence").alias("confidence"), F.col("slope").alias("avg_slope"), F.col("z").alias("saddle_elevation_m"), F.col("strength").alias("k_curvature"))
@@ -134,12 +150,12 @@ def assemble(parts: dict[str, DataFrame]) -> DataFrame:
         have = set(df.columns)
         rows = df.select("map_id", F.lit(k).alias("_t"), F.lit(kind).alias("feature_type"), "label", "cx", "cy", "elev_min", "elev_max", "confidence", "avg_slope", *(F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in EXTRA.items()))
         out = rows if out is None else out.unionByName(rows)
-    out = out.withColumn("seq", (F.row_number().over(Window.partitionBy("map_id").orderBy("_t", "label")) - 1).cast("long"))
+    out = numbered(settle(out.withColumn("_line", F.floor(F.col("label") / LINE))), "seq", ["_t", "_line"], "label").drop("_line")
     return out.withColumn("feature_id", F.sha2(F.concat_ws("|", "map_id", "feature_type", "cx", "cy", "seq"), 256)).drop("_t", "label")
 
 
 def extract(fields: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All features of a surface."""
+    """All features of a surface, with the ids of those they are linked to, and z at their centroids as elevation."""
     fields = settle(fields)
     parts = {
         "peak": peaks(fields, cfg),
@@ -148,7 +164,22 @@ def extract(fields: DataFrame, cfg: Config = Config()) -> DataFrame:
         "saddle": saddles(fields, cfg),
         "flat_zone": flat_zones(fields, cfg),
     }
-    return settle(purge(assemble(parts), cfg))
+    found = settle(purge(assemble(parts), cfg))
+    at = fields.select("map_id", F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("elevation"))
+    return settle(with_links(found, cfg).join(at, ["map_id", "cx", "cy"], "left"))
+
+
+def with_links(features: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Adds connected_peaks (of ridges: peaks near an end), connecting_ridges and connecting_valleys (of saddles: near a spine point): sorted ids, null for other types."""
+
+    def linked(edges: DataFrame, own: str, other: str, name: str, kind: str) -> DataFrame:
+        ids = edges.groupBy("map_id", F.col(own).alias("feature_id")).agg(F.sort_array(F.collect_set(other)).alias(name))
+        return out.join(ids, ["map_id", "feature_id"], "left").withColumn(name, F.when(F.col("feature_type") == kind, F.coalesce(name, F.array().cast("array<string>"))))
+
+    out = features
+    out = linked(spine_links(features, "peak", "ridge", cfg, ends_only=True), "dst", "src", "connected_peaks", "ridge")
+    out = linked(spine_links(features, "saddle", "ridge", cfg), "src", "dst", "connecting_ridges", "saddle")
+    return linked(spine_links(features, "saddle", "valley", cfg), "src", "dst", "connecting_valleys", "saddle")
 
 
 def spine_links(features: DataFrame, left: str, right: str, cfg: Config = Config(), ends_only: bool = False) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fields over pixels: calibration, blur, gradients, slope, aspect, curvature and its classes.
 
-Neighbours come from windows along rows and columns: a pass along x and one along y, whatever the stencil.
+What looks at neighbours is a chain of stencil steps over tiles (``stencils``), one shuffle for the whole
+chain; all formulas of a pixel's own values are column expressions.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.config import Config
+from ridgeline.operators import stencils
+from ridgeline.operators.quantiles import quantiles
+from ridgeline.operators.stencils import kernel as kernel
+from ridgeline.sources.scratch import Scratch
 
 
 def along(axis: str):
@@ -18,12 +23,6 @@ def along(axis: str):
     return Window.partitionBy("map_id", "y" if axis == "x" else "x").orderBy(axis)
 
 
-def kernel(sigma: float) -> list[float]:
-    r = int(4 * sigma + 0.5)
-    w = [math.exp(-0.5 * k * k / sigma**2) for k in range(-r, r + 1)]
-    return [v / sum(w) for v in w]
-
-
 def calibrate(pixels: DataFrame, cfg: Config = Config()) -> DataFrame:
     """z from gray, in the map's own scales if it has columns for them."""
     v = F.col("vertical_scale") if "vertical_scale" in pixels.columns else F.lit(cfg.vertical_scale)
@@ -34,50 +33,34 @@ def calibrate(pixels: DataFrame, cfg: Config = Config()) -> DataFrame:
 def blur(df: DataFrame, column: str, sigma: float, out: str | None = None) -> DataFrame:
     """Separable Gaussian, y first, edges mirrored (the edge pixel twice)."""
     out = out or column
-    if sigma <= 0:
-        return df.withColumn(out, F.col(column))
-    weights = kernel(sigma)
-    r = len(weights) // 2
-    source = column
-    for axis in ("y", "x"):
-        w = along(axis)
-        line = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        near = F.array(*(F.lag(source, -k).over(w) if k else F.col(source) for k in range(-r, r + 1)))
-        df = df.withColumn("_near", near).withColumn("_n", (F.max(axis).over(line) + 1).cast("int"))
-        total: Column | None = None
-        for k, weight in zip(range(-r, r + 1), weights, strict=True):
-            p = F.pmod(F.col(axis) + k, 2 * F.col("_n"))
-            j = F.when(p < F.col("_n"), p).otherwise(2 * F.col("_n") - 1 - p)
-            term = F.element_at("_near", (j - F.col(axis) + r + 1).cast("int")) * F.lit(weight)
-            total = term if total is None else total + term
-        df = df.withColumn(out, total).drop("_near", "_n")
-        source = out
-    return df
+    return df.withColumn(out, F.col(column)) if sigma <= 0 else stencils.apply(df, stencils.blur(column, sigma, out))
 
 
-def slope_along(column: str, axis: str, cell: float) -> Column:
-    """Central difference, one-sided at the ends."""
-    w = along(axis)
-    before, after, here = F.lag(column).over(w), F.lead(column).over(w), F.col(column)
-    return F.when(before.isNull(), (after - here) / F.lit(cell)).when(after.isNull(), (here - before) / F.lit(cell)).otherwise((after - before) / F.lit(2 * cell))
+def gradient_step(cfg: Config, z: str = "z") -> stencils.Step:
+    """dz_dx and dz_dy by central differences; by the 3x3 Sobel operator (whose dz_dx points west) if so configured."""
+    return (stencils.sobel if cfg.gradient_method == "sobel" else stencils.differences)(z, "dz_dx", "dz_dy", cfg.horizontal_scale)
 
 
 def gradient(df: DataFrame, cfg: Config = Config(), z: str = "z") -> DataFrame:
-    """dz_dx and dz_dy; by the 3x3 Sobel operator (whose dz_dx points west) if so configured."""
-    if cfg.gradient_method == "sobel":
-        return sobel(df, cfg, z)
-    return df.withColumn("dz_dx", slope_along(z, "x", cfg.horizontal_scale)).withColumn("dz_dy", slope_along(z, "y", cfg.horizontal_scale))
+    return stencils.apply(df, gradient_step(cfg, z))
+
+
+def second_steps(cfg: Config) -> tuple[stencils.Step, ...]:
+    c = cfg.horizontal_scale
+    return stencils.differences("dz_dx", "_xx", "_xy", c), stencils.differences("dz_dy", "_yx", "_yy", c)
+
 
+def relief_steps(cfg: Config) -> tuple[stencils.Step, ...]:
+    r = cfg.prominence_radius_px
+    return (stencils.box("z", -r, r - 1, "min", "_low"),)
 
-def sobel(df: DataFrame, cfg: Config = Config(), z: str = "z") -> DataFrame:
-    wx, wy = along("x"), along("y")
-    edge = lambda c, w, k: F.coalesce(F.lag(c, -k).over(w), F.col(c))
-    df = df.withColumn("_l", edge(z, wx, -1)).withColumn("_r", edge(z, wx, 1))
-    df = df.withColumn("_d", F.col("_l") - F.col("_r")).withColumn("_s", F.col("_l") + 2 * F.col(z) + F.col("_r"))
-    dx = edge("_d", wy, -1) + 2 * F.col("_d") + edge("_d", wy, 1)
-    dy = edge("_s", wy, 1) - edge("_s", wy, -1)
-    scale = F.lit(8 * cfg.horizontal_scale)
-    return df.withColumn("dz_dx", dx / scale).withColumn("dz_dy", dy / scale).drop("_l", "_r", "_d", "_s")
+
+def derived(calibrated: DataFrame, cfg: Config = Config(), relief: bool = False, rough: bool = False) -> DataFrame:
+    """Blurred z, gradients, slope, aspect and curvatures (and relief, variance) of calibrated pixels, in one pass over tiles."""
+    smooth = (stencils.blur("z", cfg.noise_reduction_sigma),) if cfg.noise_reduction_sigma > 0 else ()
+    more = (relief_steps(cfg) if relief else ()) + ((stencils.variance("z", "variance"),) if rough else ())
+    df = curvatures(slope_aspect(stencils.apply(calibrated, *smooth, gradient_step(cfg), *second_steps(cfg), *more), cfg))
+    return df.withColumn("relief", F.col("z") - F.col("_low")).drop("_low") if relief else df
 
 
 def slope_aspect(df: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -89,10 +72,12 @@ def slope_aspect(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def curvature(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Mean curvature h_curv and Gaussian curvature k_curv; NaN becomes 0 and infinities are cut to 1."""
-    c = cfg.horizontal_scale
-    df = df.withColumn("_xx", slope_along("dz_dx", "x", c)).withColumn("_xy", slope_along("dz_dx", "y", c))
-    df = df.withColumn("_yx", slope_along("dz_dy", "x", c)).withColumn("_yy", slope_along("dz_dy", "y", c))
+    """Mean curvature h_curv and Gaussian curvature k_curv from the gradients; NaN becomes 0 and infinities are cut to 1."""
+    return curvatures(stencils.apply(df, *second_steps(cfg)))
+
+
+def curvatures(df: DataFrame) -> DataFrame:
+    """The curvatures from columns of first and second derivatives, which go."""
     p, q, r, t = (F.col(n) for n in ("dz_dx", "dz_dy", "_xx", "_yy"))
     s = (F.col("_xy") + F.col("_yx")) / 2.0
     g = 1.0 + p * p + q * q
@@ -105,14 +90,15 @@ def curvature(df: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def epsilons(df: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """map_id, eps_h, eps_k: adaptive thresholds by exact percentiles of each map."""
+    """map_id, eps_h, eps_k: adaptive thresholds by exact percentiles of each map.  df is read four times: write it first."""
     if not cfg.adaptive_epsilon:
         return df.select("map_id").distinct().withColumn("eps_h", F.lit(cfg.curvature_epsilon)).withColumn("eps_k", F.lit(cfg.curvature_epsilon))
     a = df.select("map_id", F.abs("h_curv").alias("h"), F.abs("k_curv").alias("k"))
-    first = a.groupBy("map_id").agg(F.percentile("h", F.lit(0.5)).alias("m"), F.percentile("h", F.lit(0.75)).alias("h_all"), F.percentile("k", F.lit(0.75)).alias("k_all"))
+    first = quantiles(a, m=(F.col("h"), 0.5), h_all=(F.col("h"), 0.75), k_all=(F.col("k"), 0.75))
+    first = Scratch(df.sparkSession).keep(first)
     some = a.join(first.select("map_id", "m"), "map_id").filter("h > m")
-    some = some.groupBy("map_id").agg(F.count("*").alias("n"), F.percentile("h", F.lit(0.75)).alias("h_some"), F.percentile("k", F.lit(0.75)).alias("k_some"))
-    both = first.join(some, "map_id", "left")
+    n = some.groupBy("map_id").agg(F.count("*").alias("n"))
+    both = first.join(quantiles(some, h_some=(F.col("h"), 0.75), k_some=(F.col("k"), 0.75)), "map_id", "left").join(n, "map_id", "left")
     few = F.coalesce(F.col("n"), F.lit(0)) < 100
     cut = lambda v, low, high: F.greatest(F.lit(low), F.least(F.lit(high), v))
     h = cut(F.when(few, F.col("h_all")).otherwise(F.col("h_some")) * cfg.h_factor, cfg.h_min, cfg.h_max)
@@ -127,6 +113,12 @@ def classify(df: DataFrame, eps: DataFrame) -> DataFrame:
     return df.join(eps, "map_id").withColumn("curvature_type", kind)
 
 
+def classified(curved: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Writes the table once and classifies it by thresholds taken from it; eps_h and eps_k stay as columns."""
+    curved = Scratch(curved.sparkSession).keep(curved)
+    return classify(curved, epsilons(curved, cfg))
+
+
 def class_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("map_id", "curvature_type").agg(F.count("*").alias("n"))
 
@@ -137,6 +129,16 @@ def surface_checks(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out.withColumn("wide", F.col("spread") > cfg.max_elevation_range)
 
 
+def require_finite(df: DataFrame, *columns: str) -> DataFrame:
+    """The table; ValueError if a value of the columns is null, NaN or infinite."""
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    n = df.agg(*(F.count(F.when(bad(c), 1)).alias(c) for c in columns)).first()
+    wrong = {c: n[c] for c in columns if n[c]}
+    if wrong:
+        raise ValueError(f"values that aren't finite: {wrong}")
+    return df
+
+
 def world(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds easting and northing in metres."""
     return df.withColumn("easting", F.col("x") * F.lit(cfg.horizontal_scale)).withColumn("northing", F.col("y") * F.lit(cfg.horizontal_scale))
@@ -148,34 +150,21 @@ def elevation_at(df: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def k_confidence(df: DataFrame) -> DataFrame:
-    """Adds k_confidence: |k| over the 90th percentile of the map's non-zero |k|, cut to 0..1."""
-    top = df.filter("k_curv <> 0").groupBy("map_id").agg(F.percentile(F.abs("k_curv"), F.lit(0.9)).alias("_p90"))
+    """Adds k_confidence: |k| over the 90th percentile of the map's non-zero |k|, cut to 0..1.  df is read three times."""
+    top = quantiles(df.filter("k_curv <> 0").select("map_id", "k_curv"), _p90=(F.abs("k_curv"), 0.9))
     out = df.join(top, "map_id", "left")
     share = F.abs("k_curv") / F.greatest(F.coalesce(F.col("_p90"), F.lit(1.0)), F.lit(1e-8))
     return out.withColumn("k_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))).drop("_p90")
 
 
-def box(df: DataFrame, column: str, low: int, high: int, how, out: str) -> DataFrame:
-    """how (min, max, sum, ...) over the square from low to high pixels, in two passes."""
-    df = df.withColumn("_row", how(column).over(along("x").rowsBetween(low, high)))
-    return df.withColumn(out, how("_row").over(along("y").rowsBetween(low, high))).drop("_row")
-
-
 def prominence(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds relief: z above the least z of the window from -r to r - 1 pixels."""
-    r = cfg.prominence_radius_px
-    return box(df, "z", -r, r - 1, F.min, "_low").withColumn("relief", F.col("z") - F.col("_low")).drop("_low")
+    return stencils.apply(df, *relief_steps(cfg)).withColumn("relief", F.col("z") - F.col("_low")).drop("_low")
 
 
 def roughness(df: DataFrame) -> DataFrame:
     """Adds variance: of z over 3x3 pixels, edges mirrored, not below 0."""
-    wx, wy = along("x"), along("y")
-    edge = lambda c, w, k: F.coalesce(F.lag(c, -k).over(w), F.col(c))
-    df = df.withColumn("_a", edge("z", wx, -1) + F.col("z") + edge("z", wx, 1))
-    df = df.withColumn("_b", edge("z", wx, -1) * edge("z", wx, -1) + F.col("z") * F.col("z") + edge("z", wx, 1) * edge("z", wx, 1))
-    mean = (edge("_a", wy, -1) + F.col("_a") + edge("_a", wy, 1)) / 9.0
-    square = (edge("_b", wy, -1) + F.col("_b") + edge("_b", wy, 1)) / 9.0
-    return df.withColumn("variance", F.greatest(F.lit(0.0), square - mean * mean)).drop("_a", "_b")
+    return stencils.apply(df, stencils.variance("z", "variance"))
 
 
 def cost(df: DataFrame, cfg: Config = Config(), function: str | None = None, unit: str | None = None, custom=None) -> DataFrame:
@@ -209,7 +198,7 @@ def hillshade(df: DataFrame, cfg: Config = Config(), azimuth: float = 315.0, alt
     az, alt, e = math.radians(90 - azimuth), math.radians(altitude), exaggeration * cfg.horizontal_scale
     x, y = -e * F.col("dz_dx"), e * F.col("dz_dy")
     light = (x * (math.cos(az) * math.cos(alt)) + y * (math.sin(az) * math.cos(alt)) + math.sin(alt)) / F.sqrt(1.0 + x * x + y * y)
-    df = df.withColumn("_l", light)
+    df = Scratch(df.sparkSession).keep(df.withColumn("_l", light))  # read for the range and for the shades
     by = df.groupBy("map_id").agg(F.min("_l").alias("_a"), F.max("_l").alias("_b"))
     spread = F.col("_b") - F.col("_a")
     shade = F.when(spread > 1e-6, (F.col("_l") - F.col("_a")) / spread).otherwise(F.col("_l"))
@@ -221,7 +210,5 @@ def traversability(slope: Column, cfg: Config = Config()) -> Column:
 
 
 def surface(pixels: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All fields of a pixel table: z, gradients, slope, aspect, curvatures and their class."""
-    df = blur(calibrate(pixels, cfg), "z", cfg.noise_reduction_sigma)
-    df = curvature(slope_aspect(gradient(df, cfg), cfg), cfg)
-    return classify(df, epsilons(df, cfg))
+    """All fields of a pixel table: z, gradients, slope, aspect, curvatures and their class, relief and variance."""
+    return classified(derived(calibrate(pixels, cfg), cfg, relief=True, rough=True), cfg)

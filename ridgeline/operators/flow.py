@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.config import Config
-from ridgeline.operators.fields import along
-from ridgeline.operators.graphs import accumulate, nearest, pixel_id, roots
+from ridgeline.operators import stencils
+from ridgeline.operators.graphs import accumulate, nearest, numbered, pixel_id, roots
+from ridgeline.sources.scratch import Scratch
 
 #: Codes 1 to 8 clockwise from east, as (dx, dy) with y down.
 D8 = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
@@ -25,24 +24,15 @@ def encode(dx: Column, dy: Column) -> Column:
 
 def directions(df: DataFrame, z: str = "z") -> DataFrame:
     """Adds d8: the code of the steepest drop to a neighbour, the first of equals, 0 without a drop."""
-    wx, wy = along("x"), along("y")
-    row = F.struct(F.lag(z).over(wx).alias("w"), F.col(z).alias("c"), F.lead(z).over(wx).alias("e"))
-    df = df.withColumn("_r", row).withColumn("_u", F.lag("_r").over(wy)).withColumn("_d", F.lead("_r").over(wy))
-    there = {(1, 0): "_r.e", (1, 1): "_d.e", (0, 1): "_d.c", (-1, 1): "_d.w", (-1, 0): "_r.w", (-1, -1): "_u.w", (0, -1): "_u.c", (1, -1): "_u.e"}
-    drops = [(F.col(z) - F.col(there[s])) / F.lit(math.sqrt(2.0) if s[0] and s[1] else 1.0) for s in D8]
-    best = F.greatest(*drops)
-    code = None
-    for k, drop in enumerate(drops, 1):
-        code = (F if code is None else code).when((drop == best) & (drop > 0), k)
-    return df.withColumn("d8", code.otherwise(0)).drop("_r", "_u", "_d")
+    return stencils.apply(df, stencils.steepest(z, D8, "d8"))
 
 
 def downstream(df: DataFrame) -> DataFrame:
     """map_id, id, x, y, next: the pixel that d8 points to; null if it points nowhere or off the map."""
     dx = F.element_at(F.array(*(F.lit(a) for a, _ in D8)), F.greatest(F.col("d8"), F.lit(1)))
     dy = F.element_at(F.array(*(F.lit(b) for _, b in D8)), F.greatest(F.col("d8"), F.lit(1)))
-    size = Window.partitionBy("map_id")
-    df = df.withColumn("_x", F.col("x") + dx).withColumn("_y", F.col("y") + dy).withColumn("_w", F.max("x").over(size)).withColumn("_h", F.max("y").over(size))
+    size = df.groupBy("map_id").agg(F.max("x").alias("_w"), F.max("y").alias("_h"))  # a row a map
+    df = df.join(size, "map_id").withColumn("_x", F.col("x") + dx).withColumn("_y", F.col("y") + dy)
     ok = (F.col("d8") > 0) & F.col("_x").between(F.lit(0), F.col("_w")) & F.col("_y").between(F.lit(0), F.col("_h"))
     return df.select("map_id", pixel_id().alias("id"), "x", "y", F.when(ok, pixel_id("_x", "_y")).alias("next"))
 
@@ -55,15 +45,39 @@ def accumulation(df: DataFrame) -> DataFrame:
 
 def outlets(df: DataFrame) -> DataFrame:
     """map_id, x, y, label: pixels that flow nowhere, numbered in row-major order."""
-    out = downstream(df).filter("next is null")
-    return out.select("map_id", "x", "y", (F.row_number().over(Window.partitionBy("map_id").orderBy("y", "x")) - 1).alias("label"))
+    return named(downstream(df))
+
+
+def named(net: DataFrame) -> DataFrame:
+    return numbered(net.filter("next is null").select("map_id", "x", "y"), "label", ["y"], "x").select("map_id", "x", "y", "label")
 
 
 def watersheds(df: DataFrame) -> DataFrame:
-    """map_id, x, y, label of the outlet that the pixel drains to."""
-    net = downstream(df)
-    named = outlets(df).select("map_id", pixel_id().alias("root"), "label")
-    return net.select("map_id", "id", "x", "y").join(roots(net), ["map_id", "id"]).join(named, ["map_id", "root"], "left").select("map_id", "x", "y", "label")
+    """map_id, x, y, label of the outlet that the pixel drains to; where flow runs in a circle, that of the nearest labelled pixel.
+
+    Of equally near ones the first in row-major order counts.  The search widens by rings of cells until all are labelled.
+    """
+    net = Scratch(df.sparkSession).keep(downstream(df))
+    ends = named(net).select("map_id", pixel_id().alias("root"), "label")
+    out = net.select("map_id", "id", "x", "y").join(roots(net), ["map_id", "id"]).join(ends, ["map_id", "root"], "left").select("map_id", "x", "y", "label")
+    out = Scratch(df.sparkSession).keep(out)
+    lost = out.filter("label is null")
+    return out if lost.isEmpty() else out.filter("label is not null").unionByName(filled(lost, out.filter("label is not null")))
+
+
+def filled(lost: DataFrame, known: DataFrame) -> DataFrame:
+    """lost pixels with the label of the nearest known pixel of their map; null on maps without any."""
+    scratch = Scratch(lost.sparkSession)
+    left = scratch.keep(lost.select("map_id", "x", "y").join(known.select("map_id").distinct(), "map_id", "left_semi"))
+    none = lost.join(known.select("map_id").distinct(), "map_id", "left_anti").select("map_id", "x", "y", F.lit(None).cast("long").alias("label"))
+    right = known.select("map_id", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("label").cast("long").alias("label"), pixel_id().alias("place"))
+    done, radius = none, 2.0
+    while not left.isEmpty():
+        found = scratch.keep(nearest(left, right, radius, ["map_id", "x", "y"], "place"))
+        done = done.unionByName(found.select("map_id", "x", "y", "label"))
+        left = scratch.keep(left.join(found.select("map_id", "x", "y"), ["map_id", "x", "y"], "left_anti"))
+        radius *= 2
+    return done
 
 
 def basins(labels: DataFrame, cfg: Config = Config(), least_m2: float | None = None) -> DataFrame:
@@ -84,7 +98,7 @@ def stream_mask(acc: DataFrame, least: int) -> DataFrame:
 
 
 def flow_edges(features: DataFrame, df: DataFrame, streams: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """map_id, src, dst: from a feature down its flow to the first stream pixel, and on to the nearest feature there."""
+    """map_id, src, dst: from a feature down its flow to the first stream pixel, and on to the nearest feature there (unless snap_method is none)."""
     net = downstream(df)
     marked = streams.select("map_id", pixel_id().alias("id"), F.lit(True).alias("wet"))
     cut = net.join(marked, ["map_id", "id"], "left").select("map_id", "id", "x", "y", F.when(F.col("wet").isNull(), F.col("next")).alias("next"), "wet")
@@ -92,5 +106,7 @@ def flow_edges(features: DataFrame, df: DataFrame, streams: DataFrame, cfg: Conf
     wet = cut.filter("wet").select("map_id", F.col("id").alias("root"), "x", "y")
     spots = features.select("map_id", "feature_id", pixel_id("cx", "cy").alias("id")).join(ends, ["map_id", "id"]).join(wet, ["map_id", "root"]).select("map_id", F.col("feature_id").alias("src"), "x", "y")
     others = features.select("map_id", F.col("feature_id").alias("dst"), F.col("cx").alias("x2"), F.col("cy").alias("y2"), "seq")
+    if cfg.snap_method == "none":
+        return spots.select("map_id", "src", F.lit(None).cast("string").alias("dst")).filter("false")
     found = nearest(spots, others, cfg.feature_snap_distance_px, ["map_id", "src"], "seq")
     return found.filter("src <> dst").select("map_id", "src", "dst")

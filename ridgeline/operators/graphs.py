@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.sources.scratch import Scratch
@@ -115,6 +115,15 @@ def components(mask: DataFrame, eight: bool = False, tile: int = TILE, rounds: l
     return px.join(names, ["map_id", "part"], "left").select("map_id", "y", "x", F.coalesce("component", "part").alias("label"))
 
 
+def numbered(df: DataFrame, out: str, line: list[str], order: str) -> DataFrame:
+    """Adds out, the place (from 0) of a row in its map by line, then by order: places within lines, and the rows of the lines before."""
+    lines = df.groupBy("map_id", *line).agg(F.count("*").alias("_n"))
+    up = Window.partitionBy("map_id").orderBy(*line)  # a row a line
+    lines = lines.select("map_id", *line, (F.sum("_n").over(up) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("map_id", *line).orderBy(order)) - 1
+    return df.withColumn("_own", own).join(lines, ["map_id", *line]).withColumn(out, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own")
+
+
 def at_least(labelled: DataFrame, size: int) -> DataFrame:
     """Pixels of components of that size or more."""
     return labelled.join(labelled.groupBy("map_id", "label").count().filter(F.col("count") >= size).select("map_id", "label"), ["map_id", "label"], "left_semi")

@@ -143,7 +143,7 @@ LENGTH = "((1 + seq % 7) * sqrt(5.0::DOUBLE) * 2.0::DOUBLE)"
 HEADS = {"peak": f"{quantified('prominence', 'prominence')} || ' peak'", "ridge": f"{quantified('length', LENGTH)} || ' ridge'", "valley": f"{quantified('length', LENGTH)} || ' valley'", "saddle": f"{quantified('elevation', 'elev_max')} || ' saddle'", "flat_zone": f"{quantified('area', '(area_pixels * 4)')} || ' flat area'"}
 SLOPES = quantified("slope", "avg_slope")
 TAILS = {
-    "peak": f"' rising ' || {metres('prominence')} || ' above ' || CASE WHEN elev_max < 10.1 THEN 'sea level' ELSE 'surrounding terrain' END || ' with ' || {SLOPES} || ' slopes'",
+    "peak": f"' rising ' || {metres('coalesce(prominence, 0.0)')} || ' above ' || CASE WHEN elev_max < 10.1 THEN 'sea level' ELSE 'surrounding terrain' END || ' with ' || {SLOPES} || ' slopes'",
     "ridge": f"' with ' || {SLOPES} || ' slopes'",
     "valley": f"' with ' || {SLOPES} || ' floor slopes, part of a drainage network'",
     "saddle": f"' at ' || {metres('elev_max')} || ' elevation providing passage between surrounding areas'",
@@ -153,4 +153,4 @@ TAILS = {
 
 def described(brief: bool) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {h}" + ("" if brief else f" || {TAILS[k]}") for k, h in HEADS.items())
-    return truth(f"SELECT feature_id, CASE feature_type {cases} END AS description FROM truth WHERE feature_type <> 'peak' OR prominence IS NOT NULL")
+    return truth(f"SELECT feature_id, CASE feature_type {cases} END AS description FROM truth")
