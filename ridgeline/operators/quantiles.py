@@ -23,7 +23,8 @@ def quantiles(df: DataFrame, by: str = "map_id", **wanted: tuple[Column, float])
     below = float("-inf")
     keys = []
     for n in wanted:
-        v, low, high = value[n], F.get(f"{n}_in", F.lit(0)), F.get(f"{n}_in", F.lit(1))
+        v, small = value[n], F.col(f"{n}_n") < ACCURACY  # a margin of less than a rank: all values count
+        low, high = (F.when(~small, F.get(f"{n}_in", F.lit(i))).otherwise(F.lit(b)) for i, b in ((0, below), (1, -below)))
         keys.append(F.struct(F.lit(n).alias("name"), F.when(v < low, F.lit(below)).when(v <= high, v).alias("key")))
     one = df.join(known, by).select(by, F.explode(F.array(*keys)).alias("k")).select(by, "k.name", "k.key").filter("key is not null")
     steps = one.groupBy(by, "name", "key").agg(F.count("*").alias("here"))

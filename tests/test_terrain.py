@@ -220,3 +220,32 @@ def test_components_take_few_rounds(spark):
     got = components(spark.createDataFrame(rows, "map_id int, y int, x int"), tile=2, rounds=turns)
     assert got.select("label").distinct().count() == 1 and got.count() == len(rows)
     assert len(turns) < 20
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_quantiles_are_exact(spark, accuracy, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ridgeline.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ACCURACY", accuracy)
+    r = np.random.default_rng(6)
+    groups = {0: r.normal(size=3001), 1: r.integers(0, 5, 800).astype(float), 2: np.array([7.0]), 3: np.concatenate([np.zeros(900), r.random(17) * 1e9])}
+    rows = [(g, float(v)) for g, own in groups.items() for v in own] + [(1, None), (1, float("nan"))]
+    df = spark.createDataFrame(rows, "map_id int, v double").repartition(6)
+    got = {x.map_id: x for x in q.quantiles(df, a=(F.col("v"), 0.05), b=(F.col("v"), 0.5), c=(F.abs("v"), 0.9)).collect()}
+    for g, own in groups.items():
+        assert np.allclose([got[g].a, got[g].b, got[g].c], [np.percentile(own, 5), np.percentile(own, 50), np.percentile(np.abs(own), 90)], rtol=1e-12)
+
+
+def test_tiles_make_no_difference(spark, ground):
+    from ridgeline.operators import stencils
+
+    df = frame(spark, ground)
+    steps = (stencils.blur("z", 1.0), stencils.differences("z", "a", "b", 2.0), stencils.differences("a", "aa", "ab", 2.0), stencils.box("z", -2, 1, "min", "low"), stencils.variance("z", "v"), stencils.strict_top("z", "top"))
+    whole, cut = stencils.apply(df, *steps), stencils.apply(df, *steps, tile=sum(s.reach for s in steps))
+    for c in ("z", "a", "b", "aa", "ab", "low", "v", "top"):
+        assert np.array_equal(grid_of(whole, c), grid_of(cut, c))
+    low = grid_of(whole, "low")
+    z = grid_of(whole, "z")
+    assert all(low[y, x] == z[max(0, y - 2) : y + 2, max(0, x - 2) : x + 2].min() for y in range(14) for x in range(17))
