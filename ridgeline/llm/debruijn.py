@@ -33,14 +33,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.llm import rounds
-from ridgeline.llm.kernels import U64, PrefixHash, Words, byte_codes, mix, same_bytes, sliding_min
+from ridgeline.llm.kernels import U64, PrefixHash, Words, mix, same_bytes, sliding_min
 from ridgeline.llm.rounds import Block, Corpus, first_of_each, numbers
 from ridgeline.sources.scratch import Scratch
 
 WIDTH, GRAM, HOT = 20, 10, 1024
 SEEDS = (21, 22, 23, 24)
-CODES = byte_codes(21)
 BASE2 = 0xD1342543DE82EF95
+#: Words of more bytes are hashed one by one.
+LONG = 512
 
 
 class Text:
@@ -67,15 +68,20 @@ class Text:
         return out
 
     def word_codes(self, seed: int) -> np.ndarray:
-        """XXH64 of each word: one call for each different word."""
-        w = self.words
-        lens = w.end - w.start + 1
-        _, some, which = np.unique(mix(PrefixHash(CODES[self.flat]).span(self.total[:-1], self.total[1:])), return_index=True, return_inverse=True)
-        k = np.arange(len(lens))
-        if not ((lens == lens[some][which]).all() and self.same(k, some[which], np.ones(len(k), np.int64)).all()):
-            some = which = k
-        a, z = self.total[some].tolist(), self.total[some + 1].tolist()
-        return np.fromiter((xxhash.xxh64_intdigest(self.data[x:y], seed) for x, y in zip(a, z, strict=True)), U64, len(some))[which]
+        """A hash of each word: eight bytes after the other are mixed in, all words at once; very long words by XXH64."""
+        start, lens = self.total[:-1], np.diff(self.total) - 1
+        lanes = np.ndarray(len(self.data), "<u8", self.data + bytes(8), strides=(1,))
+        h = mix(lens.astype(U64) + U64(seed))
+        todo, k = np.flatnonzero(lens <= LONG), 0
+        while len(todo):
+            left = np.minimum(lens[todo] - k, 8).astype(U64)
+            keep = ~U64(0) >> (U64(64) - U64(8) * left)
+            h[todo] = mix((h[todo] ^ (lanes[start[todo] + k] & keep)) * U64(0x9E3779B97F4A7C15))
+            k += 8
+            todo = todo[lens[todo] > k]
+        for i in np.flatnonzero(lens > LONG).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.data[start[i] : start[i] + lens[i]], seed)
+        return h
 
 
 class Edges(Text):
