@@ -67,7 +67,8 @@ class PrefixHash:
         powers = _POWERS.setdefault(base, _Powers(base))
         up, self.down = powers.upto(len(codes) + 1)
         self.sums = np.zeros(len(codes) + 1, U64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+        np.multiply(codes, up[: len(codes)], out=self.sums[1:])
+        np.cumsum(self.sums[1:], out=self.sums[1:])
 
     def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Unmixed hashes of the spans [a, b)."""

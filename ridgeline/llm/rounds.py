@@ -31,7 +31,7 @@ from ridgeline.llm.kernels import arrow_texts, splits
 from ridgeline.sources.scratch import Scratch, salted_join
 
 BLOCK_BYTES = 2 << 20
-BUCKET_BYTES = 5 << 20
+BUCKET_BYTES = 2 << 20
 #: Buckets that packs go to in one step, and the bytes of packs that are dealt on at once.
 FAN, AGAIN_BYTES = 1024, 32 << 20
 LEAST = np.iinfo(np.int64).min

@@ -173,7 +173,7 @@ def repeated(x: dict[str, np.ndarray], width: int) -> np.ndarray:
     n = x["n"].astype(np.int64)
     span = n + width - 1
     begin = np.cumsum(span) - span
-    x["text"] = x["_text"]
+    x["text"] = x.pop("_text")
     x["content"] = mix(PrefixHash(CODES[x["text"]]).span(begin, begin + span) + mix(x["n"].astype(U64) * U64(256) + x["off"].astype(U64)))
     rank = np.empty(len(n), np.int64)
     rank[np.lexsort((x["local"], x["block"], x["start"], x["tie"], x["doc"]))] = np.arange(len(n))
