@@ -282,8 +282,7 @@ def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
-    # Keys are counted where one could be dense at all.
-    hot = dense_keys(nodes, rule) if n > rule.dense else np.zeros(0, np.uint32)
+    hot = dense_keys(nodes, rule)
 
     def cool(x: Nodes):
         key, row = node_keys(x, rule)
