@@ -115,10 +115,10 @@ class Corpus:
             yield one(block=np.full(len(u), number), key=u.view(np.int64), n=n.astype(np.int64))
 
         made = self.scratch.keep(self.each(rows, "block long, key long, n long"))
-        again = self.scratch.keep(made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot")))
+        again = made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
         found = made.select("block", "key").join(again, "key").groupBy("block")
         out = self.scratch.keep(found.agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")))
-        self.scratch.drop(made, again)
+        self.scratch.drop(made)
         return out
 
     def deal(self, question: Callable[..., dict], answer: Callable[[dict], pa.Table], schema: str, *tables: DataFrame) -> DataFrame:

@@ -261,7 +261,7 @@ def mark(docs: DataFrame, scratch: Scratch, each, schema, width: int = WIDTH, gr
     if not flags.filter("size(hot) > 0").isEmpty():
         windows = corpus.each(hottest, "block long, d1 long, d2 long, doc long, tie long, start long, local long", flags.filter("size(hot) > 0"))
         again = corpus.least_of_each(windows, ["d1", "d2"], ["doc", "tie", "start", "block", "local"])
-        found = found.unionByName(scratch.keep(again.select("block", "local", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("mask"))))
+        found = found.unionByName(again.select("block", "local", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("mask")))
     found = corpus.by_block(found, "found", "local", "n", "mask")
     return corpus.each(lambda _, b, hot, found: iter([each(b, covered(b, hot, found, width, gram))]), schema, flags.select("block", "hot"), found)
 
