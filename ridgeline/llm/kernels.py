@@ -79,6 +79,15 @@ class PrefixHash:
         n = len(self.sums) - width
         return mix((self.sums[width:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, U64)
 
+    def ranks(self, width: int) -> np.ndarray:
+        """Numbers of all spans of that width whose upper halves put them in a pseudo-random order."""
+        n = max(0, len(self.sums) - width)
+        out = self.sums[width : width + n] - self.sums[:n]
+        out *= self.down[:n]
+        out ^= out >> U64(29)
+        out *= U64(0xBF58476D1CE4E5B9)
+        return out
+
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w consecutive items, by doubling."""

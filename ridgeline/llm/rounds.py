@@ -126,8 +126,14 @@ class Corpus:
         buckets, per = self.buckets, math.ceil(self.buckets / self.fan)
 
         def packs(x: dict, per: int):
-            got = [(bucket, dump(**take(x, at))) for bucket, at in by_bucket(x["key"], buckets, per)]
-            return one(bucket=pa.array([g[0] for g in got], pa.int32()), payload=pa.array([g[1] for g in got], pa.binary()))
+            to = ((x["key"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) // per
+            order = np.argsort(to, kind="stable")
+            x, to = take(x, order), to[order]
+            cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else np.zeros(1, np.int64)
+            flat = np.concatenate([[0], np.cumsum(x["size"], dtype=np.int64)])[cuts].tolist()
+            rows = cuts.tolist()
+            parts = [{k: v[flat[i] : flat[i + 1]] if k[0] == "_" else v[rows[i] : rows[i + 1]] for k, v in x.items()} for i in range(len(rows) - 1)]
+            return one(bucket=pa.array(to[cuts[:-1]], pa.int32()), payload=pa.array([dump(**p) for p in parts], pa.binary()))
 
         def split(batches):
             held, size, of = [], 0, None

@@ -47,21 +47,22 @@ class Anchors:
 
     def __init__(self, b: Block, width: int = WIDTH, gram: int = GRAM):
         self.hashes = PrefixHash(CODES[b.buf])
-        grams = self.hashes.every(gram)
         low = U64(0xFFFFFFFF)
-        least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=U64), width - gram + 1)
-        lens = np.diff(b.offs)
-        flow = np.zeros(len(b.buf) + 2, np.int32)
-        np.add.at(flow, b.offs[:-1][lens >= width], 1)
-        np.add.at(flow, b.offs[1:][lens >= width] - width + 1, -1)
-        at = np.flatnonzero(np.cumsum(flow)[: len(least)])
-        anchor = (least[at] & low).astype(np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(anchor) != 0) | (np.diff(at) != 1)
-        begins = np.flatnonzero(new)
-        self.first, self.n = at[begins], np.diff(np.append(begins, len(at)))
-        self.off = anchor[begins] - self.first
-        self.key = grams[anchor[begins]]
+        rank = self.hashes.ranks(gram)
+        rank &= ~low
+        rank |= np.arange(len(rank), dtype=U64)
+        least = sliding_min(rank, width - gram + 1)
+        # Runs end where the anchor changes, and at documents' ends.
+        long = np.diff(b.offs) >= width
+        stop = b.offs[1:][long] - width + 1
+        begins = np.unique(np.concatenate([np.flatnonzero(least[1:] != least[:-1]) + 1, b.offs[:-1][long], stop]))
+        of = np.searchsorted(stop, begins, side="right")  # the document, of the long ones, whose windows come next
+        begins, of = begins[of < len(stop)], of[of < len(stop)]
+        inside = begins >= b.offs[:-1][long][of]
+        self.first, self.n = begins[inside], np.diff(np.append(begins, stop[-1:]))[inside]
+        anchor = (least[self.first] & low).astype(np.int64)
+        self.off = anchor - self.first
+        self.key = mix(self.hashes.span(anchor, anchor + gram))
         self.doc = b.doc_of(self.first)
         span = self.n + width - 1
         self.content = mix(self.hashes.span(self.first, self.first + span) + mix(self.n.astype(U64) * U64(256) + self.off.astype(U64)))
