@@ -202,7 +202,7 @@ def image_sink(spark, sf_dir):
     return grids.to_gray(grids.hills(spark, sf_dir).withColumn("z", F.col("gray") * F.lit(0.492) + F.lit(0.35)), CFG)
 
 
-@query("content_hash")
+@query("content_hash", f"""WITH {grids.HILLS}, rw AS (SELECT map_id, y, sha256(string_agg(gray::VARCHAR, ',' ORDER BY x)) AS h FROM hills GROUP BY map_id, y) SELECT map_id, substr(sha256(string_agg(h, '|' ORDER BY y)), 1, 16) AS content FROM rw GROUP BY map_id""")
 def content_hash(spark, sf_dir):
     return grids.content_hash(grids.hills(spark, sf_dir))
 
@@ -302,8 +302,11 @@ def found(name: str, make, where: str, tail: str = "", more: tuple = ()):
     query(name, o.truth(f"SELECT feature_id, seq FROM truth WHERE {where} {tail}", *more))(lambda spark, sf_dir: make(known(spark, sf_dir).query()).to_df().select("feature_id", "seq"))
 
 
+#: A feature of the fixture that is near two ridges.
+KNOT = 72
+
 found("query_select", lambda q: q.select("ridge"), "feature_type = 'ridge'")
-found("query_where_eq", lambda q: q.select("peak").where(cx=5), "feature_type = 'peak' AND cx = 5")
+found("query_where_eq", lambda q: q.select("peak").where(cx=50), "feature_type = 'peak' AND cx = 50")
 found("query_where_neq", lambda q: q.select("peak").where(prominence__neq=30.0), "feature_type = 'peak' AND prominence <> 30")
 found("query_where_gt", lambda q: q.select("peak").where(prominence__gt=50), "feature_type = 'peak' AND prominence > 50")
 found("query_where_gte", lambda q: q.select("saddle").where(avg_slope__gte=26.0, cx__lt=40), "feature_type = 'saddle' AND avg_slope >= 26 AND cx < 40")
@@ -317,9 +320,9 @@ found("query_order_nulls_asc", lambda q: q.select("peak").order_by("prominence")
 found("query_order_nulls_desc", lambda q: q.select("peak").order_by("prominence", descending=True).limit(12), "feature_type = 'peak'", "ORDER BY prominence DESC NULLS FIRST, map_id, seq LIMIT 12")
 found("query_limit_offset", lambda q: q.select("flat_zone").order_by("area_pixels").limit(5).offset(3), "feature_type = 'flat_zone'", "ORDER BY area_pixels NULLS LAST, map_id, seq LIMIT 5 OFFSET 3")
 found("query_visible_to", lambda q: q.select("valley").visible_to(q.select("peak").where(cx__lt=32)), "feature_type = 'valley' AND feature_id IN (SELECT src FROM near WHERE dst IN (SELECT feature_id FROM truth WHERE feature_type = 'peak' AND cx < 32))", "", (o.NEAR,))
-found("query_connected_to", lambda q: q.select("ridge").connected_to(fid(7)), f"feature_type = 'ridge' AND feature_id IN (SELECT dst FROM near WHERE src = '{fid(7)}')", "", (o.NEAR,))
+found("query_connected_to", lambda q: q.select("ridge").connected_to(fid(KNOT)), f"feature_type = 'ridge' AND feature_id IN (SELECT dst FROM near WHERE src = '{fid(KNOT)}')", "", (o.NEAR,))
 found("flow_upstream", lambda q: q.select("valley").upstream_of(fid(2)), "feature_type = 'valley' AND feature_id IN (SELECT id FROM reach)", "", (o.FLOW, f"reach AS (SELECT '{fid(2)}' AS id UNION SELECT src FROM fl JOIN reach ON dst = id)"))
-found("flow_downstream", lambda q: q.select("peak").downstream_of(fid(9)), "feature_type = 'peak' AND feature_id IN (SELECT id FROM reach)", "", (o.FLOW, f"reach AS (SELECT '{fid(9)}' AS id UNION SELECT dst FROM fl JOIN reach ON src = id)"))
+found("flow_downstream", lambda q: q.select("peak").downstream_of(fid(95)), "feature_type = 'peak' AND feature_id IN (SELECT id FROM reach)", "", (o.FLOW, f"reach AS (SELECT '{fid(95)}' AS id UNION SELECT dst FROM fl JOIN reach ON src = id)"))
 
 
 @query("shell_select", o.truth("SELECT feature_id, seq FROM truth WHERE feature_type = 'peak' AND prominence > 20 ORDER BY prominence DESC, map_id, seq LIMIT 4 OFFSET 1"))
@@ -377,23 +380,26 @@ def polyline_length(spark, sf_dir):
 _SPOTS = "sp AS (SELECT map_id, feature_id, feature_type, cx + 2 * i AS x, cy + i AS y, i, 1 + seq % 7 AS last FROM (SELECT *, unnest(range(2 + seq % 7)) AS i FROM truth WHERE feature_type IN ('ridge', 'valley')))"
 
 
+_LINKS = replace(CFG, feature_connection_tolerance_px=24.0)  # wide enough for the fixture to have some
+
+
 def linked(a: str, b: str, ends: str) -> str:
-    return o.truth(f"SELECT DISTINCT t.map_id, t.feature_id AS src, sp.feature_id AS dst FROM truth t JOIN sp ON sp.map_id = t.map_id WHERE t.feature_type = '{a}' AND sp.feature_type = '{b}' {ends} AND (t.cx - sp.x) * (t.cx - sp.x) + (t.cy - sp.y) * (t.cy - sp.y) <= 100", _SPOTS)
+    return o.truth(f"SELECT DISTINCT t.map_id, t.feature_id AS src, sp.feature_id AS dst FROM truth t JOIN sp ON sp.map_id = t.map_id WHERE t.feature_type = '{a}' AND sp.feature_type = '{b}' {ends} AND (t.cx - sp.x) * (t.cx - sp.x) + (t.cy - sp.y) * (t.cy - sp.y) <= {_LINKS.feature_connection_tolerance_px ** 2}", _SPOTS)
 
 
 @query("ridge_peak_links", linked("peak", "ridge", "AND i IN (0, last)"))
 def ridge_peak_links(spark, sf_dir):
-    return feature_ops.spine_links(truth(spark, sf_dir), "peak", "ridge", CFG, ends_only=True)
+    return feature_ops.spine_links(truth(spark, sf_dir), "peak", "ridge", _LINKS, ends_only=True)
 
 
 @query("saddle_ridge_links", linked("saddle", "ridge", ""))
 def saddle_ridge_links(spark, sf_dir):
-    return feature_ops.spine_links(truth(spark, sf_dir), "saddle", "ridge", CFG)
+    return feature_ops.spine_links(truth(spark, sf_dir), "saddle", "ridge", _LINKS)
 
 
 @query("saddle_valley_links", linked("saddle", "valley", ""))
 def saddle_valley_links(spark, sf_dir):
-    return feature_ops.spine_links(truth(spark, sf_dir), "saddle", "valley", CFG)
+    return feature_ops.spine_links(truth(spark, sf_dir), "saddle", "valley", _LINKS)
 
 
 @query("spine_smooth", "WITH p AS (SELECT o_orderkey // 12 AS key, (o_orderkey % 12)::INT AS ord, ((o_orderkey * 7919) % 101)::INT AS x, ((o_orderkey * 104729) % 97)::INT AS y FROM orders) SELECT key, ord, CASE WHEN n >= 5 THEN trunc(ax) ELSE x END::INT AS x, CASE WHEN n >= 5 THEN trunc(ay) ELSE y END::INT AS y FROM (SELECT *, avg(x) OVER w AS ax, avg(y) OVER w AS ay, count(*) OVER (PARTITION BY key) AS n FROM p WINDOW w AS (PARTITION BY key ORDER BY ord ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))")
@@ -407,6 +413,49 @@ def edge_dedupe(spark, sf_dir):
     return panels.undirected(known(spark, sf_dir).connectivity)
 
 
+_BY_SEQ = "JOIN truth a ON a.feature_id = e.src AND a.map_id = e.map_id JOIN truth b ON b.feature_id = e.dst AND b.map_id = e.map_id"
+
+
+@query("flow_edge_drops", o.truth(f"SELECT map_id, src, dst, {o.r('drop_m', 'drop_m')}, {o.r('least(1.0::DOUBLE, drop_m / 50.0::DOUBLE)', 'intensity')} FROM (SELECT e.map_id, src, dst, a.elev_max - b.elev_max AS drop_m, row_number() OVER (PARTITION BY e.map_id ORDER BY a.seq, b.seq) AS place FROM near e {_BY_SEQ}) WHERE place <= 5", o.NEAR))
+def flow_edge_drops(spark, sf_dir):
+    t = known(spark, sf_dir)
+    return panels.edge_drops(t.connectivity, t.features, 5).select("map_id", "src", "dst", rounded("drop_m"), rounded("intensity"))
+
+
+@query("connectivity_edges", o.truth(f"SELECT map_id, src, dst, style FROM (SELECT e.map_id, src, dst, CASE WHEN a.feature_type = 'peak' AND b.feature_type = 'peak' THEN 'solid' WHEN a.feature_type IN ('ridge', 'valley') THEN 'dashed' ELSE 'dotted' END AS style, row_number() OVER (PARTITION BY e.map_id ORDER BY a.k, b.seq) AS place FROM near e JOIN pri a ON a.feature_id = e.src AND a.map_id = e.map_id JOIN pri b ON b.feature_id = e.dst AND b.map_id = e.map_id WHERE a.k < b.k) WHERE place <= 3", o.NEAR, "pri AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY feature_type <> 'peak', CASE WHEN feature_type = 'peak' THEN -coalesce(prominence, 0) ELSE 0 END, seq) AS k FROM truth)"))
+def connectivity_edges(spark, sf_dir):
+    t = known(spark, sf_dir)
+    return panels.connectivity_edges(t.connectivity, t.features, 3)
+
+
+@query("peak_sights", o.truth(f"SELECT map_id, src, dst FROM (SELECT e.map_id, src, dst, count(*) OVER (PARTITION BY e.map_id ORDER BY a.seq RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY e.map_id, a.seq) AS before FROM near e {_BY_SEQ} WHERE a.feature_type = 'peak' AND b.feature_type = 'peak') WHERE before < 1", o.NEAR))
+def peak_sights(spark, sf_dir):
+    t = known(spark, sf_dir)
+    return panels.peak_sights(t.visibility, t.features, 1)
+
+
+@query("peak_markers", o.truth(f"SELECT map_id, feature_id, cx * 2.0::DOUBLE AS wx, cy * 2.0::DOUBLE AS wy, {o.r('greatest(12.0::DOUBLE, least(32.0::DOUBLE, 12.0::DOUBLE + coalesce(prominence, 10.0::DOUBLE) / 20.0::DOUBLE))', 'marker_size')}, coalesce(prominence, 10.0::DOUBLE) > 30 AS labelled FROM truth WHERE feature_type = 'peak'"))
+def peak_markers(spark, sf_dir):
+    return panels.peak_markers(truth(spark, sf_dir), CFG.horizontal_scale).select("map_id", "feature_id", "wx", "wy", rounded("marker_size"), "labelled")
+
+
+@query("outlet_markers", o.flow("", "SELECT map_id, label, x * 2.0::DOUBLE AS wx, y * 2.0::DOUBLE AS wy FROM ol WHERE label < 20"))
+def outlet_markers(spark, sf_dir):
+    return panels.outlet_markers(flow.outlets(drained(spark, sf_dir)), CFG.horizontal_scale)
+
+
+@query("stream_points", o.flow(o.ACC, "SELECT map_id, (id % 4294967296) * 2.0::DOUBLE AS wx, (id // 4294967296) * 2.0::DOUBLE AS wy FROM ac GROUP BY map_id, id HAVING count(*) >= 10"))
+def stream_points(spark, sf_dir):
+    return panels.stream_points(flow.stream_mask(flow.accumulation(drained(spark, sf_dir)), 10), CFG.horizontal_scale)
+
+
+@query("downsampled", f"""WITH {grids.HILLS}, g AS (SELECT map_id, y::INT AS y, x::INT AS x, y * (63.0::DOUBLE / 20) AS ay, x * (63.0::DOUBLE / 20) AS ax FROM (SELECT DISTINCT map_id FROM hills), range(21) a(y), range(21) b(x)),
+c AS (SELECT g.*, floor(ay)::INT + j AS oy, floor(ax)::INT + i AS ox, (CASE WHEN j = 0 THEN 1 - (ay - floor(ay)) ELSE ay - floor(ay) END) * (CASE WHEN i = 0 THEN 1 - (ax - floor(ax)) ELSE ax - floor(ax) END) AS s FROM g, range(2) a(j), range(2) b(i))
+SELECT c.map_id, c.y, c.x, {o.r('sum(h.gray * s) / sum(s)', 'gray', 4)} FROM c JOIN hills h ON h.map_id = c.map_id AND h.y = c.oy AND h.x = c.ox WHERE s > 0 GROUP BY c.map_id, c.y, c.x""")
+def downsampled(spark, sf_dir):
+    return panels.downsampled(grids.hills(spark, sf_dir), "gray", 21).select("map_id", "y", "x", rounded("gray", 4))
+
+
 @query("counts_by_type", o.truth("SELECT map_id, feature_type, count(*) AS n FROM truth GROUP BY ALL"))
 def counts_by_type(spark, sf_dir):
     return panels.counts_by_type(truth(spark, sf_dir))
@@ -427,20 +476,17 @@ def quadrant_counts(spark, sf_dir):
     return panels.quadrants(truth(spark, sf_dir), 64, 64)
 
 
-# What SQL doesn't express in practice; tests compare these with plain versions.
-
-
-@query("connected_components")
+@query("connected_components", f"WITH RECURSIVE {grids.HILLS}, mask AS (SELECT map_id, y, x FROM hills WHERE gray >= 40), {o.components('mask', 'cc')} SELECT map_id, y, x, label FROM cc")
 def connected_components(spark, sf_dir):
     return components(grids.hills(spark, sf_dir).filter("gray >= 40").select(*PX))
 
 
-@query("large_components")
+@query("large_components", f"WITH RECURSIVE {grids.HILLS}, mask AS (SELECT map_id, y, x FROM hills WHERE gray >= 60), {o.components('mask', 'cc')} SELECT map_id, label, count(*) AS pixels FROM cc GROUP BY map_id, label HAVING count(*) >= 80")
 def large_components(spark, sf_dir):
     return at_least(components(grids.hills(spark, sf_dir).filter("gray >= 60").select(*PX)), 80).groupBy("map_id", "label").agg(F.count("*").alias("pixels"))
 
 
-@query("nms_saddles")
+@query("nms_saddles", o.truth("SELECT map_id, id FROM nms", "pts AS (SELECT map_id, seq AS id, cx AS x, cy AS y, avg_slope AS strength FROM truth)", o.suppressed("pts", "nms", 15)))
 def nms_saddles(spark, sf_dir):
     t = truth(spark, sf_dir).select("map_id", F.col("seq").alias("id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("avg_slope").alias("strength"))
     return suppress(t, 15)
@@ -461,25 +507,82 @@ def priority_flood(spark, sf_dir):
     return kernels.priority_flood(flow.directions(heights(spark, sf_dir).select(*PX, "z"))).drop("z")
 
 
-@query("visibility_graph")
+@query("visibility_graph", o.chain(3, o.TRUTH + ", " + o.SIGHT, "SELECT map_id, src, dst FROM sg UNION ALL SELECT map_id, dst, src FROM sg"))
 def visibility_graph(spark, sf_dir):
     return relations.visibility(heights(spark, sf_dir), truth(spark, sf_dir), CFG)
 
 
-@query("connectivity_graph")
+@query("connectivity_graph", o.costs("tobler", ", " + o.PATHS, f"SELECT map_id, src, dst, {o.r('c', 'path_cost')} FROM got UNION ALL SELECT map_id, dst, src, {o.r('c', 'path_cost')} FROM got").replace("WITH ", "WITH RECURSIVE ", 1))
 def connectivity_graph(spark, sf_dir):
     return relations.connectivity(priced(spark, sf_dir, "tobler"), truth(spark, sf_dir), CFG).withColumn("path_cost", F.round("path_cost", 6))
 
 
-@query("flow_graph")
+@query("flow_graph", o.flow(o.ACC + ", " + o.FLOWS, "SELECT map_id, src, dst FROM near1 WHERE src <> dst", grids.HILLS, "hills"))
 def flow_graph(spark, sf_dir):
     d8 = flow.directions(grids.hills(spark, sf_dir), "gray")
     return flow.flow_edges(truth(spark, sf_dir), d8, flow.stream_mask(flow.accumulation(d8), 12), CFG)
 
 
-@query("synthetic_terrain")
-def synthetic_terrain(spark, sf_dir):
-    return synth.SCENARIOS["saddle"][0].build(spark).select(*PX, rounded("z"))
+_SHAPES = {
+    "plane": (synth.Synthetic(), []),
+    "peaks": (synth.Synthetic().peak(0, 0, 50, 12).peak(-64, 20, 40, 30, "paraboloid"), [o.cone(0, 0, 50, 12, "gaussian"), o.cone(-64, 20, 40, 30, "paraboloid")]),
+    "ridge": (synth.Synthetic().ridge((-118, -20), (100, 30), 40, 4), [o.wall((-118, -20), (100, 30), 40, 4)]),
+    "valley": (synth.Synthetic().peak(0, 0, 60, 90, "paraboloid").valley((-118, 0), (118, 0), 30, 5), [o.cone(0, 0, 60, 90, "paraboloid"), o.wall((-118, 0), (118, 0), -30, 5)]),
+    "saddle": (synth.Synthetic().saddle(10, -5, 0.01, 0.02, 25, 60), [o.pass_(10, -5, 0.01, 0.02, 25, 60)]),
+    "flat": (synth.Synthetic().peak(0, 0, 50, 40).flat(4, -6, 30, 20, 12), [o.cone(0, 0, 50, 40, "gaussian"), "CASE WHEN x >= 58 AND x < 73 AND y >= 56 AND y < 66 THEN 12.0::DOUBLE ELSE z END"]),
+}
+for _name, (_recipe, _terms) in _SHAPES.items():
+    query(f"synthetic_{_name}", o.synthetic(_terms))(lambda spark, sf_dir, s=_recipe: s.build(spark).select(*PX, rounded("z")))
+
+
+@query("line_of_sight", o.chain(3, o.TRUTH + ", " + o.SIGHT, "SELECT map_id, src, dst, n FROM (SELECT map_id, src, dst, greatest(dx, dy)::BIGINT AS n FROM pr) SEMI JOIN sg USING (map_id, src, dst)"))
+def line_of_sight(spark, sf_dir):
+    t, px = truth(spark, sf_dir), settle(heights(spark, sf_dir))
+    seen = relations.visibility(px, t, CFG, symmetric=False)
+    at = lambda p: t.select("map_id", F.col("feature_id").alias(p), F.col("cx").alias(f"{p}_x"), F.col("cy").alias(f"{p}_y"))
+    both = seen.join(at("src"), ["map_id", "src"]).join(at("dst"), ["map_id", "dst"])
+    return both.select("map_id", "src", "dst", F.greatest(F.abs(F.col("dst_x") - F.col("src_x")), F.abs(F.col("dst_y") - F.col("src_y"))).cast("long").alias("n"))
+
+
+# Features of the derived hills.
+
+
+@query("extract_flat_zones", o.recursive(5, o.FLATS, f"SELECT map_id, label, cx, cy, area_pixels, x_min, x_max, y_min, y_max, {o.r('elev_min', 'elev_min')}, {o.r('elev_max', 'elev_max')}, {o.r('avg_slope', 'avg_slope')} FROM fz"))
+def extract_flat_zones(spark, sf_dir):
+    out = feature_ops.flat_zones(classified(spark, sf_dir), CFG)
+    return out.select("map_id", "label", "cx", "cy", "area_pixels", "x_min", "x_max", "y_min", "y_max", rounded("elev_min"), rounded("elev_max"), rounded("avg_slope"))
+
+
+@query("extract_saddles", o.recursive(7, o.SADDLES, f"SELECT c.map_id, c.id AS label, c.x::INT AS cx, c.y::INT AS cy, {o.r('strength', 'k_curvature')}, {o.r('conf', 'confidence')}, {o.r('slope', 'avg_slope')}, {o.r('z', 'saddle_elevation_m')} FROM cand c JOIN nms USING (map_id, id) WHERE strength >= {o.d(CFG.saddle_k_min_threshold)} AND conf >= {o.d(CFG.saddle_confidence_threshold)}"))
+def extract_saddles(spark, sf_dir):
+    out = feature_ops.saddles(settle(classified(spark, sf_dir)), CFG)
+    return out.select("map_id", "label", "cx", "cy", rounded("k_curvature"), rounded("confidence"), rounded("avg_slope"), rounded("saddle_elevation_m"))
+
+
+@query("extract_peaks", o.recursive(7, o.PEAKS, f"SELECT map_id, label, cx, cy, size, {o.r('elev_min', 'elev_min')}, {o.r('elev_max', 'elev_max')}, {o.r('avg_slope', 'avg_slope')}, {o.r('prominence', 'prominence')}, {o.r('least(1.0::DOUBLE, prominence / 15.0::DOUBLE * (1.0::DOUBLE - abs(avg_slope - 15.0::DOUBLE) / 30.0::DOUBLE))', 'defensive_rating')}, {o.r('least(1.0::DOUBLE, prominence / 20.0::DOUBLE)', 'confidence')} FROM pf"))
+def extract_peaks(spark, sf_dir):
+    out = feature_ops.peaks(classified(spark, sf_dir), CFG)
+    return out.select("map_id", "label", "cx", "cy", "size", rounded("elev_min"), rounded("elev_max"), rounded("avg_slope"), rounded("prominence"), rounded("defensive_rating"), rounded("confidence"))
+
+
+# What SQL doesn't express in practice; tests compare these with plain versions.
+
+
+@query("extract_features")
+def extract_features(spark, sf_dir):
+    return feature_ops.extract(classified(spark, sf_dir), CFG).select("map_id", "seq", "feature_type", "cx", "cy", F.size("connected_peaks").alias("peaks"), F.size("connecting_ridges").alias("ridges"), F.size("connecting_valleys").alias("valleys"))
+
+
+def analyzed(spark, sf_dir) -> relations.Terrain:
+    """The whole chain on the maps of four nations of the hills: every relation of every feature."""
+    return relations.analyze(grids.hills(spark, sf_dir), CFG)
+
+
+@query("analyze_and_ask")
+def analyze_and_ask(spark, sf_dir):
+    t = analyzed(spark, sf_dir)
+    asked = t.query().select("peak").visible_to(t.query().select("ridge")).order_by("prominence", descending=True).to_df()
+    return shell.described(asked, CFG)
 
 
 @query("self_test")

@@ -93,8 +93,8 @@ def summits(df: DataFrame, label: DataFrame, cfg: Config) -> DataFrame:
 def lines(df: DataFrame, cfg: Config, kinds: tuple[str, ...], ridge: bool) -> DataFrame:
     """Ridges or valleys: thinned lines of a curvature mask, long enough, with ordered spines."""
     mask = settle(df.filter(F.col("curvature_type").isin(*kinds)).select("map_id", "y", "x"))
-    solid = at_least(components(mask), cfg.min_ridge_length_px)
-    thinned = settle(at_least(components(kernels.skeleton(solid)), cfg.min_ridge_length_px))
+    solid = settle(at_least(components(mask), cfg.min_ridge_length_px))
+    thinned = settle(at_least(components(settle(kernels.skeleton(solid))), cfg.min_ridge_length_px))
     path = settle(kernels.spines(thinned))
     w = Window.partitionBy("map_id", "label").orderBy("ord")
     half = cfg.smooth_spine_window // 2

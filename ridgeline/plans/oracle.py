@@ -154,3 +154,114 @@ TAILS = {
 def described(brief: bool) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {h}" + ("" if brief else f" || {TAILS[k]}") for k, h in HEADS.items())
     return truth(f"SELECT feature_id, CASE feature_type {cases} END AS description FROM truth")
+
+
+def components(mask: str, out: str, eight: bool = False) -> str:
+    """CTEs of the components of a table of pixels: (map_id, y, x, label), by reachability between runs of lines."""
+    d = int(eight)
+    return f"""{out}_px AS (SELECT map_id, y, x, x - row_number() OVER (PARTITION BY map_id, y ORDER BY x) AS g FROM {mask}),
+{out}_run AS (SELECT map_id, y, g, min(x) AS a, max(x) AS b, y::BIGINT * 4294967296 + min(x) AS id FROM {out}_px GROUP BY map_id, y, g),
+{out}_down AS (SELECT p.map_id, p.id AS u, q.id AS v FROM {out}_run p JOIN {out}_run q ON p.map_id = q.map_id AND q.y = p.y + 1 AND q.a <= p.b + {d} AND q.b >= p.a - {d}),
+{out}_touch AS (SELECT map_id, u, v FROM {out}_down UNION ALL SELECT map_id, v, u FROM {out}_down),
+{out}_reach AS (SELECT map_id, id AS u, id AS v FROM {out}_run UNION SELECT r.map_id, r.u, t.v FROM {out}_reach r JOIN {out}_touch t ON t.map_id = r.map_id AND t.u = r.v),
+{out}_least AS (SELECT map_id, u AS id, min(v) AS label FROM {out}_reach GROUP BY map_id, u),
+{out} AS (SELECT p.map_id, p.y, p.x, l.label FROM {out}_px p JOIN {out}_run r ON p.map_id = r.map_id AND p.y = r.y AND p.g = r.g JOIN {out}_least l ON l.map_id = r.map_id AND l.id = r.id)"""
+
+
+def suppressed(points: str, out: str, radius: float) -> str:
+    """CTEs of greedy suppression of points (map_id, id, x, y, strength), one after the other: (map_id, kept list)."""
+    return f"""{out}_rank AS (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY strength DESC, id DESC) AS k FROM {points}),
+{out}_walk AS (SELECT map_id, 0::BIGINT AS k, []::STRUCT(id BIGINT, x INT, y INT)[] AS kept FROM {out}_rank GROUP BY map_id
+  UNION ALL SELECT w.map_id, w.k + 1, CASE WHEN len(list_filter(w.kept, lambda p: (p.x - r.x) * (p.x - r.x) + (p.y - r.y) * (p.y - r.y) <= {radius * radius})) = 0
+    THEN list_append(w.kept, {{'id': r.id::BIGINT, 'x': r.x::INT, 'y': r.y::INT}}) ELSE w.kept END FROM {out}_walk w JOIN {out}_rank r ON r.map_id = w.map_id AND r.k = w.k + 1),
+{out} AS (SELECT map_id, unnest(kept).id AS id FROM (SELECT map_id, arg_max(kept, k) AS kept FROM {out}_walk GROUP BY map_id))"""
+
+
+def recursive(n: int, more: str, select: str) -> str:
+    return chain(n, more, select).replace("WITH hills AS (", "WITH RECURSIVE hills AS MATERIALIZED (", 1)
+
+
+SIGHT = f"""own AS (SELECT t.map_id, t.feature_id, t.seq, t.cx, t.cy, z.z, z.z + {d(C.observer_height_m)} * CASE WHEN t.feature_type = 'ridge' THEN {d(C.ridge_visibility_scale)} ELSE 1.0::DOUBLE END AS eye
+  FROM truth t JOIN zz z ON z.map_id = t.map_id AND z.x = t.cx AND z.y = t.cy WHERE t.feature_type IN ('peak', 'ridge', 'saddle')),
+pr AS (SELECT a.map_id, a.feature_id AS src, b.feature_id AS dst, a.cx AS x, a.cy AS y, b.cx AS x2, b.cy AS y2, a.eye, b.z + {d(C.target_height_m)} AS aim, abs(b.cx - a.cx) AS dx, abs(b.cy - a.cy) AS dy FROM own a JOIN own b ON a.map_id = b.map_id AND a.seq < b.seq
+  AND (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= {(C.visibility_max_range_m / C.horizontal_scale) ** 2}),
+st AS (SELECT *, greatest(dx, dy) AS n, least(dx, dy) AS m, unnest(range(1, greatest(dx, dy))) AS k FROM pr),
+ce AS (SELECT *, x + sign(x2 - x)::INT * CASE WHEN dx >= dy THEN k ELSE (2 * k * m + n - 1) // (2 * n) END AS px, y + sign(y2 - y)::INT * CASE WHEN dx >= dy THEN (2 * k * m + n - 1) // (2 * n) ELSE k END AS py FROM st),
+blocked AS (SELECT DISTINCT ce.map_id, ce.src, ce.dst FROM ce JOIN zz g ON g.map_id = ce.map_id AND g.x = ce.px AND g.y = ce.py
+  WHERE g.z > ce.eye + (ce.aim - ce.eye) * sqrt(((px - ce.x) * (px - ce.x) + (py - ce.y) * (py - ce.y))::DOUBLE) / greatest(sqrt(((x2 - ce.x) * (x2 - ce.x) + (y2 - ce.y) * (y2 - ce.y))::DOUBLE), 1.0::DOUBLE) + {d(C.visibility_epsilon)}),
+sg AS (SELECT map_id, src, dst FROM pr ANTI JOIN blocked USING (map_id, src, dst))"""
+
+FLOWS = f"""{TRUTH},
+wet AS (SELECT map_id, id FROM ac GROUP BY map_id, id HAVING count(*) >= 12),
+go AS (SELECT n.map_id, n.id, n.nxt, w.id IS NOT NULL AS wet FROM ne n LEFT JOIN wet w ON w.map_id = n.map_id AND w.id = n.id),
+tr AS (SELECT t.map_id, t.feature_id, g.id, g.nxt, g.wet FROM truth t JOIN go g ON g.map_id = t.map_id AND g.id = t.cy::BIGINT * 4294967296 + t.cx UNION ALL SELECT tr.map_id, tr.feature_id, g.id, g.nxt, g.wet FROM tr JOIN go g ON g.map_id = tr.map_id AND g.id = tr.nxt WHERE NOT tr.wet),
+hit AS (SELECT tr.map_id, tr.feature_id AS src, t.feature_id AS dst, t.seq, (t.cx - tr.id % 4294967296) * (t.cx - tr.id % 4294967296) + (t.cy - tr.id // 4294967296) * (t.cy - tr.id // 4294967296) AS d2 FROM tr JOIN truth t ON t.map_id = tr.map_id WHERE tr.wet),
+near1 AS (SELECT map_id, src, arg_min(dst, d2 * 1000000 + seq) AS dst FROM hit WHERE d2 <= {C.feature_snap_distance_px ** 2} GROUP BY map_id, src)"""
+
+PATHS = f"""{TRUTH},
+mid AS (SELECT map_id, quantile_cont(cost, 0.5) AS mid FROM co GROUP BY map_id),
+want AS (SELECT a.map_id, a.feature_id AS src, b.feature_id AS dst, a.cx AS x, a.cy AS y, b.cx AS x2, b.cy AS y2 FROM truth a JOIN truth b ON a.map_id = b.map_id AND a.seq < b.seq JOIN mid m ON m.map_id = a.map_id
+  WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= {C.connection_radius_px ** 2} AND sqrt(((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))::DOUBLE) * m.mid * {d(C.connectivity_heuristic_buffer)} <= {d(C.connectivity_max_cost)}),
+mv AS (SELECT dx, dy, CASE WHEN dx <> 0 AND dy <> 0 THEN 1.414::DOUBLE ELSE 1.0::DOUBLE END AS w FROM (VALUES (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)) v(dx, dy)),
+sp(map_id, src, y, x, c) USING KEY (map_id, src, y, x) AS (SELECT DISTINCT map_id, src, y, x, 0.0::DOUBLE FROM want
+  UNION SELECT n.map_id, s.src, n.y, n.x, min(s.c + n.cost * mv.w) FROM sp s JOIN mv ON true JOIN co n ON n.map_id = s.map_id AND n.x = s.x + mv.dx AND n.y = s.y + mv.dy
+  LEFT JOIN recurring.sp r ON r.map_id = n.map_id AND r.src = s.src AND r.y = n.y AND r.x = n.x WHERE s.c + n.cost * mv.w <= {d(C.connectivity_max_cost)} AND (r.c IS NULL OR s.c + n.cost * mv.w < r.c) GROUP BY n.map_id, s.src, n.y, n.x),
+got AS (SELECT w.map_id, w.src, w.dst, sp.c FROM want w JOIN sp ON sp.map_id = w.map_id AND sp.src = w.src AND sp.x = w.x2 AND sp.y = w.y2)"""
+
+FLATS = f"""flat AS (SELECT map_id, y, x, z, slope FROM sa WHERE slope < {d(C.flat_zone_slope_threshold_deg)} AND z >= {d(C.sea_level_offset)}),
+{components('flat', 'cc')},
+fz AS (SELECT cc.map_id, cc.label, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, count(*) AS area_pixels, min(x)::INT AS x_min, max(x)::INT AS x_max, min(y)::INT AS y_min, max(y)::INT AS y_max, min(z) AS elev_min, max(z) AS elev_max, avg(slope) AS avg_slope
+  FROM cc JOIN flat USING (map_id, y, x) GROUP BY cc.map_id, cc.label HAVING count(*) >= {C.min_flat_zone_size_px})"""
+
+_INSIDE = f"x BETWEEN {C.border_margin_px} AND {63 - C.border_margin_px} AND y BETWEEN {C.border_margin_px} AND {63 - C.border_margin_px}"
+SADDLES = f"""p9 AS (SELECT map_id, quantile_cont(abs(k_curv), 0.9) AS p FROM cu WHERE k_curv <> 0 GROUP BY map_id),
+cand AS (SELECT map_id, y::BIGINT * 4294967296 + x AS id, x, y, z, slope, abs(k_curv) AS strength, greatest(0.0::DOUBLE, least(1.0::DOUBLE, abs(k_curv) / greatest(coalesce(p, 1.0::DOUBLE), 1e-8::DOUBLE))) AS conf FROM cu JOIN ep USING (map_id) LEFT JOIN p9 USING (map_id)
+  WHERE k_curv < -eps_k AND {_INSIDE} AND z > {d(C.sea_level_offset + 1.0)}),
+{suppressed('cand', 'nms', C.nms_radius_px)}"""
+
+_PR = C.prominence_radius_px
+_RING = f"(sqrt((rx * rx + ry * ry)::DOUBLE) BETWEEN {max(2, int(C.annular_inner_m / C.horizontal_scale))} AND {max(10, int(C.annular_outer_m / C.horizontal_scale))})"
+_R = max(10, int(C.annular_outer_m / C.horizontal_scale))
+PEAKS = f"""pz AS MATERIALIZED (SELECT map_id, y, x, z, slope, CASE WHEN h_curv > eps_h AND (abs(k_curv) < eps_k OR k_curv > eps_k) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cv FROM cu JOIN ep USING (map_id)),
+lo1 AS (SELECT *, min(z) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN {_PR} PRECEDING AND {_PR - 1} FOLLOWING) AS la FROM pz),
+lo2 AS (SELECT *, z - min(la) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN {_PR} PRECEDING AND {_PR - 1} FOLLOWING) AS relief FROM lo1),
+{blurred('zz', 'z', C.peak_smooth_sigma, 'pb')},
+n1 AS (SELECT map_id, y, x, b, max(b) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS rb FROM pb),
+n2 AS (SELECT map_id, y, x, b, max(rb) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS top FROM n1),
+n3 AS (SELECT *, max(CASE WHEN top > b THEN b ELSE -1e300::DOUBLE END) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS ru FROM n2),
+n4 AS (SELECT *, max(ru) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS under FROM n3),
+on_top AS MATERIALIZED (SELECT map_id, y, x, under = b AS beside FROM n4 WHERE top = b),
+{components('on_top', 'pt', True)},
+spoilt AS (SELECT DISTINCT pt.map_id, pt.label FROM pt JOIN on_top f USING (map_id, y, x) WHERE f.beside),
+summit AS (SELECT map_id, y, x FROM pt ANTI JOIN spoilt USING (map_id, label)),
+{components('summit', 'pk')},
+pa AS (SELECT pk.map_id, pk.label, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, min(z) AS elev_min, avg(slope) AS avg_slope, count(*) AS size FROM pk JOIN lo2 USING (map_id, y, x) GROUP BY pk.map_id, pk.label HAVING count(*) >= {C.min_peak_size_px}),
+pc AS (SELECT pa.*, c.z AS elev_max, c.relief AS prominence FROM pa JOIN lo2 c ON c.map_id = pa.map_id AND c.x = pa.cx AND c.y = pa.cy),
+rg AS (SELECT rx, ry FROM range({-_R}, {_R + 1}) a(rx), range({-_R}, {_R + 1}) b(ry) WHERE {_RING}),
+sh AS (SELECT pc.map_id, pc.label, avg(c.cv) AS share, count(*) AS n FROM pc JOIN rg ON true JOIN pz c ON c.map_id = pc.map_id AND c.x = pc.cx + rx AND c.y = pc.cy + ry GROUP BY pc.map_id, pc.label),
+pf AS (SELECT pc.* FROM pc JOIN sh USING (map_id, label) WHERE n >= {C.peak_min_shoulder_samples} AND share >= {d(C.peak_shoulder_convex_ratio)} AND prominence > {d(C.peak_min_prominence_m)})"""
+
+
+def synthetic(terms: list[str], h: int = 128, w: int = 128, tilt: float = 0.5) -> str:
+    """Pixels of a synthetic map: the plane, and for each term a new height z in terms of z, wx and wy (metres from the centre)."""
+    ctes = [f"s0 AS (SELECT y::INT AS y, x::INT AS x, (x - {w / 2}::DOUBLE) * {d(C.horizontal_scale)} AS wx, (y - {h / 2}::DOUBLE) * {d(C.horizontal_scale)} AS wy, {d(C.sea_level_offset)} + (x / {d(float(max(1, w - 1)))} * 2.0::DOUBLE - 1.0::DOUBLE) * {d(tilt)} AS z FROM range({h}) a(y), range({w}) b(x))"]
+    for k, term in enumerate(terms):
+        ctes.append(f"s{k + 1} AS (SELECT y, x, wx, wy, {term} AS z FROM s{k})")
+    top = 255 * C.vertical_scale + C.sea_level_offset - 0.1
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT 0 AS map_id, y, x, {r(f'greatest({d(C.sea_level_offset)}, least({d(top)}, z))', 'z')} FROM s{len(terms)}"
+
+
+def cone(x, y, height, radius, shape) -> str:
+    d2 = f"((wx - {d(float(x))}) * (wx - {d(float(x))}) + (wy - {d(float(y))}) * (wy - {d(float(y))}))"
+    return f"z + greatest(0.0::DOUBLE, {d(float(height))} * (1.0::DOUBLE - {d2} / {d(float(radius) ** 2)}))" if shape == "paraboloid" else f"z + {d(float(height))} * exp(-{d2} / {d(2.0 * (radius / 2) ** 2)})"
+
+
+def wall(start, end, height, width) -> str:
+    (x0, y0), (x1, y1) = start, end
+    t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ((wx - {d(float(x0))}) * {d(float(x1 - x0))} + (wy - {d(float(y0))}) * {d(float(y1 - y0))}) / {d(float((x1 - x0) ** 2 + (y1 - y0) ** 2))}))"
+    return f"z + {d(float(height))} * exp(-(pow(wx - ({d(float(x0))} + {t} * {d(float(x1 - x0))}), 2) + pow(wy - ({d(float(y0))} + {t} * {d(float(y1 - y0))}), 2)) / {d(2.0 * width**2)})"
+
+
+def pass_(x, y, a, b, height, radius) -> str:
+    dx, dy = f"(wx - {d(float(x))})", f"(wy - {d(float(y))})"
+    return f"z + ({d(float(a))} * {dx} * {dx} - {d(float(b))} * {dy} * {dy} + {d(float(height))}) * greatest(0.0::DOUBLE, 1.0::DOUBLE - sqrt({dx} * {dx} + {dy} * {dy}) / {d(float(radius))})"

@@ -52,9 +52,19 @@ NOISE = """noise AS (
   FROM events, (SELECT floor(sqrt(count(*)))::BIGINT AS w FROM events) q WHERE event_id < w * w)"""
 
 
+def image_ids(spark: SparkSession, path: str) -> DataFrame:
+    """origin, map_id: the place (from 0) of each image file among the paths in order."""
+    from pyspark.sql import Window
+
+    files = spark.read.format("image").load(path).select("image.origin")
+    return files.withColumn("map_id", (F.row_number().over(Window.orderBy("origin")) - 1).cast("int"))  # a row a file
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Pixel table of image files: 8-bit gray as it is, colours by the usual luma weights."""
-    raw = spark.read.format("image").load(path).select("image.*").withColumn("map_id", F.abs(F.hash("origin")))
+    """Pixel table of image files, numbered by path: 8-bit gray as it is, colours by the usual luma weights."""
+    found = spark.read.format("image").load(path)
+    paths = image_ids(spark, path)
+    raw = found.select("image.*").join(paths, "origin")
 
     def cut(batches):
         import numpy as np
@@ -112,6 +122,44 @@ def cached(spark: SparkSession, folder: str, key: str, layer: str, make) -> Data
     return spark.read.parquet(path)
 
 
+def layer_key(content: str, cfg, layer: str) -> str:
+    """The key of a layer of a map of that content: all parameters of the layer and those before it, cell size included."""
+    used = []
+    for name, fields in LAYERS.items():
+        used += [f"{f}={getattr(cfg, f)!r}" for f in fields]
+        if name == layer:
+            return cache_key(*(f"{len(p)}:{p}" for p in (content, layer, *used)))
+    raise ValueError(f"unknown layer: {layer}")
+
+
+#: Parameters by layer, in the order of layers.
+LAYERS = {
+    "calibration": ("horizontal_scale", "vertical_scale", "sea_level_offset", "noise_reduction_sigma"),
+    "geometry": ("gradient_method", "flat_threshold_deg"),
+    "curvature": ("adaptive_epsilon", "curvature_epsilon", "h_factor", "k_factor", "h_min", "k_min", "h_max", "k_max"),
+}
+
+
+def cached_layer(pixels: DataFrame, folder: str, cfg, layer: str, make) -> DataFrame:
+    """The layer's table for these pixels; make() is asked only if no table is kept for this content and these parameters.
+
+    Thresholds that a layer used are columns of its table (eps_h, eps_k), so they come back with it.
+    """
+    spark = pixels.sparkSession
+    content = content_hash(pixels).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("map_id", "content"))), lambda r: F.concat_ws(":", r["map_id"], r["content"])), "|"), 256).alias("h")).first().h
+    return cached(spark, folder, layer_key(content, cfg, layer), layer, make)
+
+
+def save_tables(folder: str, **tables: DataFrame) -> None:
+    """Keeps several tables under their names in one folder, compressed."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("compression", "gzip").parquet(f"{folder}/{name}")
+
+
+def load_tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+
+
 def to_gray(pixels: DataFrame, cfg) -> DataFrame:
     """Heights z back to grays: cut to 0..255 and truncated."""
     v = (F.col("z") - cfg.sea_level_offset) / cfg.vertical_scale
