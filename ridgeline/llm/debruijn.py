@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import rounds
 from ridgeline.llm.kernels import U64, PrefixHash, Words, mix, same_bytes, sliding_min
-from ridgeline.llm.rounds import Block, Corpus, first_of_each, numbers
+from ridgeline.llm.rounds import Block, Corpus, first_of_each, numbers, packed
 from ridgeline.sources.scratch import Scratch
 
 WIDTH, GRAM, HOT = 20, 10, 1024
@@ -201,13 +201,13 @@ def find(corpus: Corpus, width: int, gram: int, hot: int, seed: int, trust: int)
 
     def question(number, b, shared, _):
         e = edges(b)
-        runs = e.reps[np.isin(e.key[e.reps], numbers(shared).view(U64))]
+        runs = e.reps[np.isin(e.key[e.reps], packed(shared))]
         one, two = e.hashes(e.windows(runs))
         doc = e.doc[runs]
         return dict(key=e.key[runs], block=np.full(len(runs), number), n=e.n[runs].astype(np.uint8), size=e.n[runs].astype(np.uint8), doc=b.ids[doc], tie=b.ties[doc], start=(e.first[runs] - e.words.first[doc]).astype(np.uint32), local=e.first[runs].astype(np.uint32), _one=one, _two=two)
 
     def hottest(number, b, _, hot):
-        hot = numbers(hot).view(U64)
+        hot = packed(hot)
         if len(hot):
             e = edges(b)
             at, _, _ = e.hot(b, hot)
@@ -239,7 +239,7 @@ def sources(b: Block, e: Edges, hot, paths) -> tuple[np.ndarray, np.ndarray]:
         doc[to] = np.where(own, b.ids[d], doc[of])
         word[to] = np.where(own, of - e.words.first[d], word[of])
 
-    hot = numbers(hot).view(U64)
+    hot = packed(hot)
     if len(hot):
         _, rest, twin = e.hot(b, hot)
         copy(rest, twin)

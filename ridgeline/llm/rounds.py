@@ -3,11 +3,11 @@
 The corpus is cut into *blocks* of whole documents, written once.  Texts stay where they are but for
 one join a round; what moves is keys, and arrays of what belongs to them.
 
-* ``shared`` counts keys: a row for each block and key it has, summed by key with partial aggregation.  The
-  blocks get back those that occur again, and those that are *hot*, in more places than one task should hold.
-* ``deal`` sends the rows of shared keys to buckets, packed by block and bucket.  Packs go to a thousand
+* ``deal`` sends rows of keys to buckets, packed by block and bucket.  Packs go to a thousand
   buckets at most in a step; where there are more, each is dealt on in packs made anew from many
   blocks, so that packs stay large and their number is in proportion to the input.
+* ``shared`` deals each block's different keys with their counts.  The blocks get back those that occur
+  again, and those that are *hot*, in more places than one task should hold.
 * Hot keys go another way: what belongs to them is dealt by finer keys, one row a block and key, and
   the least row of each is found by partial aggregation (``least_of_each``), so that no passage, however
   common, gathers in a task.
@@ -75,6 +75,11 @@ def one(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], list(columns))
 
 
+def packed(scalar) -> np.ndarray:
+    """A list of packed 64-bit numbers as one array; null is empty."""
+    return np.frombuffer(b"".join(scalar.as_py() or []), np.uint64)
+
+
 def numbers(scalar, name: str | None = None) -> np.ndarray:
     """A list of numbers, or a field of a list of structs, as an array; null is empty."""
     values = scalar.values
@@ -108,17 +113,28 @@ class Corpus:
         return df.mapInArrow(run, schema)
 
     def shared(self, keys: Callable[[Block], np.ndarray], hot: int) -> DataFrame:
-        """block, shared, hot: the block's keys that occur more than once, and those in more than ``hot`` places."""
+        """block, shared, hot: lists of packed numbers: the block's keys that occur more than once, and those in more than ``hot`` places.
+
+        A key takes 20 bytes of a bucket for each block that has it, so a key of all blocks is what bounds their number.
+        """
 
         def rows(number, b):
             u, n = np.unique(keys(b), return_counts=True)
-            yield one(block=np.full(len(u), number), key=u.view(np.int64), n=n.astype(np.int64))
-
-        made = self.scratch.keep(self.each(rows, "block long, key long, n long"))
-        again = made.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key", (F.col("n") > hot).alias("hot"))
-        found = made.select("block", "key").join(again, "key").groupBy("block")
-        out = self.scratch.keep(found.agg(F.collect_list(F.when(~F.col("hot"), F.col("key"))).alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("key"))).alias("hot")))
-        self.scratch.drop(made)
+            return dict(key=u, block=np.full(len(u), number), n=n.astype(np.uint32), size=np.zeros(len(u), np.uint8))
+
+        def count(x):
+            _, which = np.unique(x["key"], return_inverse=True)
+            total = np.bincount(which, x["n"])[which]
+            order = np.argsort(x["block"][total > 1], kind="stable")
+            block, key, often = (v[total > 1][order] for v in (x["block"], x["key"], total > hot))
+            cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.zeros(1, np.int64)
+            parts = [(key[i:j], often[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            return pa.Table.from_batches([one(block=block[cuts[:-1]], shared=pa.array([k[~h].tobytes() for k, h in parts], pa.binary()), hot=pa.array([k[h].tobytes() for k, h in parts], pa.binary()))])
+
+        found = self.deal(rows, count, "block long, shared binary, hot binary")
+        full = lambda c: F.collect_list(F.when(F.length(c) > 0, F.col(c))).alias(c)
+        out = self.scratch.keep(found.groupBy("block").agg(full("shared"), full("hot")))
+        self.scratch.drop(found)
         return out
 
     def deal(self, question: Callable[..., dict], answer: Callable[[dict], pa.Table], schema: str, *tables: DataFrame) -> DataFrame:

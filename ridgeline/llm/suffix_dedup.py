@@ -218,21 +218,28 @@ def repeated(x: dict[str, np.ndarray], width: int) -> np.ndarray:
 def answer(x: dict, width: int) -> pa.Table:
     masks = repeated(x, width)
     at = np.flatnonzero(masks)
-    return pa.Table.from_batches([rounds.one(block=x["block"][at], local=x["local"][at].astype(np.int64), n=x["n"][at].astype(np.int64), mask=masks[at].view(np.int64))])
+    at = at[np.argsort(x["block"][at], kind="stable")]
+    block = x["block"][at]
+    parts = np.split(at, np.flatnonzero(block[1:] != block[:-1]) + 1) if len(at) else []
+    found = [rounds.dump(local=x["local"][p], n=x["n"][p], mask=masks[p]) for p in parts]
+    return pa.Table.from_batches([rounds.one(block=pa.array([int(x["block"][p[0]]) for p in parts], pa.int64()), found=pa.array(found, pa.binary()))])
 
 
-def covered(b: Block, hot, found, width: int, gram: int) -> np.ndarray:
+def covered(b: Block, hot, found, again, width: int, gram: int) -> np.ndarray:
     """Which bytes of the block go."""
     a = Anchors(b, width, gram)
     gone = np.zeros(len(b.buf) + width + 1, bool)  # by window
     n = a.n[a.spare]
     gone[np.repeat(a.first[a.spare] - np.cumsum(n) + n, n) + np.arange(n.sum())] = True
-    hot = rounds.numbers(hot).view(U64)
+    hot = rounds.packed(hot)
     if len(hot):
         gone[hot_windows(b, a, hot, width)[1]] = True
-    at, n, mask = rounds.numbers(found, "local"), rounds.numbers(found, "n"), rounds.numbers(found, "mask").view(U64)
-    for bit in range(int(n.max(initial=0))):
-        gone[at[(mask >> U64(bit)) & U64(1) == 1] + bit] = True
+        gone[rounds.numbers(again)] = True
+    for payload in found.as_py() or []:
+        got = rounds.load(payload)
+        at = got["local"].astype(np.int64)
+        for bit in range(int(got["n"].max(initial=0))):
+            gone[at[(got["mask"] >> U64(bit)) & U64(1) == 1] + bit] = True
     edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
     flow = np.zeros(len(b.buf) + 2 * width + 2, np.int32)
     np.add.at(flow, np.flatnonzero(edge == 1), 1)
@@ -250,21 +257,23 @@ def mark(docs: DataFrame, scratch: Scratch, each, schema, width: int = WIDTH, gr
 
     def question(number, b, shared, _):
         a = Anchors(b, width, gram)
-        return contexts(number, b, a, a.reps[np.isin(a.key[a.reps], rounds.numbers(shared).view(U64))], width)
+        return contexts(number, b, a, a.reps[np.isin(a.key[a.reps], rounds.packed(shared))], width)
 
     def hottest(number, b, _, hot):
-        hot = rounds.numbers(hot).view(U64)
+        hot = rounds.packed(hot)
         if len(hot):
             yield hot_rows(number, b, Anchors(b, width, gram), hot, width)
 
     flags = corpus.shared(keys, hot)
-    found = corpus.deal(question, lambda x: answer(x, width), "block long, local long, n long, mask long", flags)
-    if not flags.filter("size(hot) > 0").isEmpty():
-        windows = corpus.each(hottest, "block long, d1 long, d2 long, doc long, tie long, start long, local long", flags.filter("size(hot) > 0"))
+    found = corpus.deal(question, lambda x: answer(x, width), "block long, found binary", flags)
+    found = found.groupBy("block").agg(F.collect_list("found").alias("found"))
+    some = flags.filter("size(hot) > 0")
+    again = flags.select("block", F.array().cast("array<long>").alias("again")).filter("false")
+    if not some.isEmpty():
+        windows = corpus.each(hottest, "block long, d1 long, d2 long, doc long, tie long, start long, local long", some)
         again = corpus.least_of_each(windows, ["d1", "d2"], ["doc", "tie", "start", "block", "local"])
-        found = found.unionByName(again.select("block", "local", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("mask")))
-    found = corpus.by_block(found, "found", "local", "n", "mask")
-    return corpus.each(lambda _, b, hot, found: iter([each(b, covered(b, hot, found, width, gram))]), schema, flags.select("block", "hot"), found)
+        again = again.groupBy("block").agg(F.collect_list("local").alias("again"))
+    return corpus.each(lambda _, b, hot, found, again: iter([each(b, covered(b, hot, found, again, width, gram))]), schema, flags.select("block", "hot"), found, again)
 
 
 def spans_of(b: Block, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
