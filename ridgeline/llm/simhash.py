@@ -9,8 +9,8 @@ flipped, decodes to: two pairs that differ in 2 bits share the word half way.  A
 about 29 keys of 24 bits; those that share one are compared.
 
 Equal fingerprints are merged before anything is compared.  A bucket of keys answers with a
-spanning forest of its links, never with all pairs.  Keys are counted first: one that over
-``dense`` fingerprints share goes to no bucket.  Those fingerprints are done another exact way: all
+spanning forest of its links, never with all pairs.  Keys are counted first, by cells of their hashes: one that over
+``dense`` fingerprints may share goes to no bucket.  Those fingerprints are done another exact way: all
 words within 2 bits of them are dealt out, and fingerprints within 4 bits of each other share one.
 
 Null and empty texts, and texts without words, have fingerprint zero.  Whole texts are hashed, a
@@ -264,17 +264,32 @@ def dealt(nodes: DataFrame, rule: Rule, make, table_of, buckets: int) -> DataFra
     return nodes.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
-def dense_keys(nodes: DataFrame, rule: Rule) -> np.ndarray:
-    """The keys that over ``dense`` nodes share, ascending: 3 * 2**24 a table at most, whatever the input."""
+class Dense:
+    """Which keys over ``dense`` nodes may share: keys are counted by cells of their hash, so many that one holds a 16th of that on average.
 
-    def count(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 100_000):
-                key, n = np.unique(node_keys(Nodes.of(batch.slice(lo, 100_000), rule.tables), rule)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32), pa.int32()), pa.array(n.astype(np.int32), pa.int32())], ["key", "n"])
+    A key of a cell with more is done as a dense one.  The list of such cells is at most a 16th of all, whatever the input.
+    """
+
+    def __init__(self, nodes: DataFrame, n: int, rule: Rule):
+        self.bits = max(10, math.ceil(math.log2(max(1, 29 * rule.tables * n * 16 / rule.dense))))
+        self.cells = np.zeros(0, np.int64)
+
+        def count(batches):
+            for batch in batches:
+                cell, n = np.unique(self.of(node_keys(Nodes.of(batch, rule.tables), rule)[0]), return_counts=True)
+                yield rounds.one(cell=cell, n=n.astype(np.int64))
+
+        got = nodes.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > rule.dense).select("cell").toArrow()
+        self.cells = np.sort(got.column("cell").to_numpy())
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        return (mix(key.astype(U64) + U64(1)) >> U64(64 - self.bits)).astype(np.int64)
 
-    got = nodes.mapInArrow(count, "key int, n int").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > rule.dense).select("key").toArrow()
-    return np.sort(got.column("key").to_numpy().astype(np.uint32))
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(len(key), bool)
+        cell = self.of(key)
+        return self.cells[np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)] == cell
 
 
 def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
@@ -282,18 +297,16 @@ def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = nodes.count()
-    hot = dense_keys(nodes, rule)
+    hot = Dense(nodes, n, rule)
 
     def cool(x: Nodes):
         key, row = node_keys(x, rule)
-        if not len(hot):
-            return key, row
-        keep = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] != key
+        keep = ~hot.holds(key)
         return key[keep], row[keep]
 
     per_node = 29 * rule.tables * 14
     links = scratch.keep(dealt(nodes, rule, cool, lambda key: key >> 26, max(parts, math.ceil(per_node * n / rounds.BUCKET_BYTES))))
-    if not len(hot):
+    if not len(hot.cells):
         return links
     if rule.most % 2:
         raise ValueError("dense keys need an even number of bits")
@@ -305,7 +318,7 @@ def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
         for t in range(rule.tables):
             key, row = keys_of(x.fp[:, t])
             key = (key + (t << 26)).astype(np.uint32)
-            row = np.unique(row[hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key])
+            row = np.unique(row[hot.holds(key)])
             keys.append((mix((x.fp[row, t][:, None] ^ flips).ravel()) & ~U64(7)) | U64(t))
             rows.append(np.repeat(row, len(flips)))
         return np.concatenate(keys), np.concatenate(rows)
