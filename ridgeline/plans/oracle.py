@@ -220,8 +220,7 @@ cand AS (SELECT map_id, y::BIGINT * 4294967296 + x AS id, x, y, z, slope, abs(k_
 {suppressed('cand', 'nms', C.nms_radius_px)}"""
 
 _PR = C.prominence_radius_px
-_RING = f"(sqrt((rx * rx + ry * ry)::DOUBLE) BETWEEN {max(2, int(C.annular_inner_m / C.horizontal_scale))} AND {max(10, int(C.annular_outer_m / C.horizontal_scale))})"
-_R = max(10, int(C.annular_outer_m / C.horizontal_scale))
+_INNER, _OUTER = max(2, int(C.annular_inner_m / C.horizontal_scale)), max(10, int(C.annular_outer_m / C.horizontal_scale))
 PEAKS = f"""pz AS MATERIALIZED (SELECT map_id, y, x, z, slope, CASE WHEN h_curv > eps_h AND (abs(k_curv) < eps_k OR k_curv > eps_k) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS cv FROM cu JOIN ep USING (map_id)),
 lo1 AS (SELECT *, min(z) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN {_PR} PRECEDING AND {_PR - 1} FOLLOWING) AS la FROM pz),
 lo2 AS (SELECT *, z - min(la) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN {_PR} PRECEDING AND {_PR - 1} FOLLOWING) AS relief FROM lo1),
@@ -237,8 +236,7 @@ summit AS (SELECT map_id, y, x FROM pt ANTI JOIN spoilt USING (map_id, label)),
 {components('summit', 'pk')},
 pa AS (SELECT pk.map_id, pk.label, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, min(z) AS elev_min, avg(slope) AS avg_slope, count(*) AS size FROM pk JOIN lo2 USING (map_id, y, x) GROUP BY pk.map_id, pk.label HAVING count(*) >= {C.min_peak_size_px}),
 pc AS (SELECT pa.*, c.z AS elev_max, c.relief AS prominence FROM pa JOIN lo2 c ON c.map_id = pa.map_id AND c.x = pa.cx AND c.y = pa.cy),
-rg AS (SELECT rx, ry FROM range({-_R}, {_R + 1}) a(rx), range({-_R}, {_R + 1}) b(ry) WHERE {_RING}),
-sh AS (SELECT pc.map_id, pc.label, avg(c.cv) AS share, count(*) AS n FROM pc JOIN rg ON true JOIN pz c ON c.map_id = pc.map_id AND c.x = pc.cx + rx AND c.y = pc.cy + ry GROUP BY pc.map_id, pc.label),
+sh AS (SELECT pc.map_id, pc.label, avg(c.cv) AS share, count(*) AS n FROM pc JOIN pz c ON c.map_id = pc.map_id WHERE (c.x - pc.cx) * (c.x - pc.cx) + (c.y - pc.cy) * (c.y - pc.cy) BETWEEN {_INNER * _INNER} AND {_OUTER * _OUTER} GROUP BY pc.map_id, pc.label),
 pf AS (SELECT pc.* FROM pc JOIN sh USING (map_id, label) WHERE n >= {C.peak_min_shoulder_samples} AND share >= {d(C.peak_shoulder_convex_ratio)} AND prominence > {d(C.peak_min_prominence_m)})"""
 
 
