@@ -22,12 +22,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.llm.license_texts import TEXTS
 from ridgeline.sources.scratch import Scratch
 
 SIZE, LEAST, MISS = 5, 0.8, 1e-9
 WORDS = r"[^\p{L}\p{N}]+"
 
-#: Notices of well-known licences, as their texts ask for.
+#: Notices of well-known licences, as their texts ask for, and short licences as a whole.
 TEMPLATES = (
     ("mit-line", "MIT", "Released under the MIT License."),
     ("apache-2.0-line", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -41,6 +42,7 @@ TEMPLATES = (
     ("bsd-conditions", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0", "MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("isc", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *TEXTS,
 )
 
 

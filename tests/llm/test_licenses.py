@@ -44,3 +44,16 @@ def test_short_templates_and_empty(spark):
 
 def test_bands_reach_the_promise():
     assert licenses.bands_for(5, 1, 5, 0.8, 1e-9) == 114
+
+
+def test_whole_texts_within_long_documents(spark):
+    from ridgeline.llm import license_texts
+
+    r = random.Random(4)
+    filler = lambda n: " ".join(f"word{r.randrange(5000)}" for _ in range(n))
+    edited = license_texts.BSD_3.replace("specific prior written", "prior written").replace("documentation", "papers")
+    rows = [(1, filler(333) + " " + license_texts.MIT + " " + filler(250)), (2, filler(41) + "\n" + edited), (3, filler(900)), (4, license_texts.ZLIB[: len(license_texts.ZLIB) // 2] + filler(60))]
+    out = {(x.doc_id, x.template): x for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1, "mit-text"].containment == 1.0 and out[1, "mit-text"].license == "MIT" and (1, "mit-grant") in out
+    assert 0.8 <= out[2, "bsd-3-text"].containment < 1.0
+    assert not any(d == 3 for d, _ in out) and (4, "zlib-text") not in out
