@@ -377,6 +377,11 @@ def polyline_length(spark, sf_dir):
     return truth(spark, sf_dir).filter("spine is not null").withColumn("length_m", feature_ops.polyline_length(F.col("spine"), 2.0)).select("feature_id", rounded("length_m"))
 
 
+@query("contains_point", o.truth("SELECT feature_id FROM truth WHERE feature_type IN ('ridge', 'valley') AND len(list_filter(range(2 + seq % 7), lambda i: sqrt(((cx + 2 * i - 30) * (cx + 2 * i - 30) + (cy + i - 30) * (cy + i - 30))::DOUBLE) < 12)) > 0"))
+def contains_point(spark, sf_dir):
+    return truth(spark, sf_dir).filter(feature_ops.contains_point(F.col("spine"), 30, 30, 12)).select("feature_id")
+
+
 _SPOTS = "sp AS (SELECT map_id, feature_id, feature_type, cx + 2 * i AS x, cy + i AS y, i, 1 + seq % 7 AS last FROM (SELECT *, unnest(range(2 + seq % 7)) AS i FROM truth WHERE feature_type IN ('ridge', 'valley')))"
 
 

@@ -112,7 +112,7 @@ class Query:
         return replace(self, skip=n)
 
     def to_df(self) -> DataFrame:
-        """The lazy result."""
+        """The result: lazy, but for the rounds of upstream_of and downstream_of, which run here."""
         if self.kind is None:
             raise ValueError("select() a feature type first")
         df = self.terrain.features.filter(F.col("feature_type") == self.kind)
