@@ -159,9 +159,10 @@ class Rule:
     verify: int | None = None
     dense: int = 65536
 
-    def near(self, n: Nodes, t, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ok = np.bitwise_count(n.fp[i, t] ^ n.fp[j, t]) <= self.most
-        return ok if self.verify is None else ok & (np.bitwise_count(n.proof[i] ^ n.proof[j]) <= self.verify)
+    def near(self, x: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether entries i and j, of the same table, link."""
+        ok = np.bitwise_count(x["fp"][i] ^ x["fp"][j]) <= self.most
+        return ok if self.verify is None else ok & (np.bitwise_count(x["proof"][i] ^ x["proof"][j]) <= self.verify)
 
 
 @dataclass
@@ -177,18 +178,15 @@ class Nodes:
         col = lambda name: batch.column(name).to_numpy()
         return cls(np.stack([col(f"f{t}").view(U64) for t in range(tables)], axis=1), col("proof").view(U64), col("node"))
 
-    def take(self, at) -> Nodes:
-        return Nodes(self.fp[at], self.proof[at], self.node[at])
 
-
-def spread_out(n: Nodes, group: np.ndarray, t: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join a group as all pairs would: breadth first, each one's distances to those not yet met."""
+def spread_out(x: dict, group: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join a group of entries as all pairs would: breadth first, each one's distances to those not yet met."""
     left, a, b = group, [], []
     while len(left):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             step, front = front[:64], front[64:]
-            near = rule.near(n, t, step[:, None], left[None, :])
+            near = rule.near(x, step[:, None], left[None, :])
             hit = near.any(axis=0)
             a.append(left[hit])
             b.append(step[near[:, hit].argmax(axis=0)])
@@ -196,69 +194,65 @@ def spread_out(n: Nodes, group: np.ndarray, t: int, rule: Rule) -> tuple[np.ndar
     return np.concatenate([*a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.zeros(0, np.int64)]).astype(np.int64)
 
 
+#: Bytes of an entry: a key of a node.
+ENTRY = 28
 #: Up to this many nodes of a key are compared in pairs at once, over all keys of a bucket.
 FEW = 48
 
 
-def bucket_links(payloads: list[bytes], rule: Rule, table_of) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of a bucket, as two arrays of nodes.  table_of: the table of each key."""
-    parts = [rounds.load(x) for x in payloads]
-    base = np.cumsum([0, *(len(p["node"]) for p in parts)])
-    key = np.concatenate([p["key"] for p in parts])
-    row = np.concatenate([p["row"].astype(np.int64) + k for p, k in zip(parts, base, strict=False)])
-    n = Nodes(np.concatenate([p["fp"].reshape(-1, rule.tables) for p in parts]), np.concatenate([p["proof"] for p in parts]), np.concatenate([p["node"] for p in parts]))
-    _, some, which = np.unique(n.node, return_index=True, return_inverse=True)
-    n, row = n.take(some), which[row]
-    order = np.argsort(key, kind="stable")
-    key, at = key[order], row[order]
-    table = table_of(key)
+def bucket_links(payloads: list[bytes], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of a bucket, as two arrays of nodes.  An entry is a key of a node, with the fingerprint of the key's table and the proof."""
+    x = rounds.together(payloads)
+    order = np.argsort(x["key"], kind="stable")
+    x = {k: v[order] for k, v in x.items()}
+    key = x["key"]
+    nodes, at = np.unique(x["node"], return_inverse=True)
     cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(cuts, len(key)))
     links: list = []
+    root = np.arange(len(nodes))
 
     def settled() -> np.ndarray:
-        joined = [np.concatenate([p[k] for p in links]) if links else np.zeros(0, np.int64) for k in (0, 1)]
-        return forest(len(some), np.concatenate([np.arange(len(some)), joined[0]]), np.concatenate([root, joined[1]]))
+        joined = [at[np.concatenate([p[k] for p in links])] if links else np.zeros(0, np.int64) for k in (0, 1)]
+        return forest(len(nodes), np.concatenate([np.arange(len(nodes)), joined[0]]), np.concatenate([root, joined[1]]))
 
-    root = np.arange(len(some))
     for g in np.flatnonzero(size > FEW):
-        links.append(spread_out(n, np.unique(at[cuts[g] : cuts[g] + size[g]]), int(table[cuts[g]]), rule))
-    rest = np.repeat(np.where(size <= FEW, size, 0), size) - (np.arange(len(key)) - np.repeat(cuts, size))  # rows of the group from here on
+        links.append(spread_out(x, np.arange(cuts[g], cuts[g] + size[g]), rule))
+    rest = np.repeat(np.where(size <= FEW, size, 0), size) - (np.arange(len(key)) - np.repeat(cuts, size))  # entries of the group from here on
     for d in range(1, FEW):
         i = np.flatnonzero(rest > d)
         if not len(i):
             break
-        near = rule.near(n, table[i], at[i], at[i + d])
-        links.append((at[i][near], at[i + d][near]))
+        near = rule.near(x, i, i + d)
+        links.append((i[near], i[near] + d))
         if sum(len(p) for p, _ in links) > 4_000_000:
             root, links = settled(), []
     root = settled()
-    far = np.flatnonzero(root != np.arange(len(some)))
-    return n.node[far], n.node[root[far]]
+    far = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[far], nodes[root[far]]
 
 
-def node_keys(n: Nodes, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of all keys of all tables: the table is in the bits above 26."""
+def node_keys(n: Nodes, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, row, fingerprint) of all keys of all tables: the table is in the bits above 26."""
     found = [keys_of(n.fp[:, t]) for t in range(rule.tables)]
-    return np.concatenate([(k + (t << 26)).astype(np.uint32) for t, (k, _) in enumerate(found)]), np.concatenate([r for _, r in found])
+    return np.concatenate([(k + (t << 26)).astype(np.uint32) for t, (k, _) in enumerate(found)]), np.concatenate([r for _, r in found]), np.concatenate([n.fp[r, t] for t, (_, r) in enumerate(found)])
 
 
-def dealt(nodes: DataFrame, rule: Rule, make, table_of, buckets: int) -> DataFrame:
-    """Links a, b of nodes that share a key.  make(nodes) -> (keys, rows of the nodes)."""
+def dealt(nodes: DataFrame, rule: Rule, make, buckets: int) -> DataFrame:
+    """Links a, b of nodes that share a key.  make(nodes) -> (keys, rows of the nodes, fingerprints of the keys' tables)."""
 
     def send(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 20000):
                 n = Nodes.of(batch.slice(lo, 20000), rule.tables)
-                key, row = make(n)
+                key, row, fp = make(n)
                 for bucket, at in rounds.by_bucket(mix(key.astype(U64)), buckets):
-                    own, short = np.unique(row[at], return_inverse=True)
-                    x = n.take(own)
-                    payload = rounds.dump(key=key[at], row=short.astype(np.uint16), fp=x.fp.ravel(), proof=x.proof, node=x.node)
+                    # As many bytes an entry at any number of buckets.
+                    payload = rounds.dump(key=key[at], fp=fp[at], proof=n.proof[row[at]], node=n.node[row[at]])
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([payload], pa.binary())], ["bucket", "payload"])
 
     def run(table: pa.Table) -> pa.Table:
-        a, b = bucket_links(table.column("payload").to_pylist(), rule, table_of)
+        a, b = bucket_links(table.column("payload").to_pylist(), rule)
         return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return nodes.mapInArrow(send, "bucket int, payload binary").groupBy("bucket").applyInArrow(run, "a long, b long")
@@ -300,12 +294,12 @@ def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
     hot = Dense(nodes, n, rule)
 
     def cool(x: Nodes):
-        key, row = node_keys(x, rule)
+        key, row, fp = node_keys(x, rule)
         keep = ~hot.holds(key)
-        return key[keep], row[keep]
+        return key[keep], row[keep], fp[keep]
 
-    per_node = 29 * rule.tables * 14
-    links = scratch.keep(dealt(nodes, rule, cool, lambda key: key >> 26, max(parts, math.ceil(per_node * n / rounds.BUCKET_BYTES))))
+    per_node = 29 * rule.tables * ENTRY
+    links = scratch.keep(dealt(nodes, rule, cool, max(parts, math.ceil(per_node * n / rounds.BUCKET_BYTES))))
     if not len(hot.cells):
         return links
     if rule.most % 2:
@@ -314,18 +308,18 @@ def link_table(nodes: DataFrame, scratch: Scratch, rule: Rule) -> DataFrame:
 
     def middles(x: Nodes):
         """Words half way: nodes of a dense key within ``most`` bits share one.  The table is in the lowest 3 bits of the key."""
-        keys, rows = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+        keys, rows, fps = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, U64)]
         for t in range(rule.tables):
             key, row = keys_of(x.fp[:, t])
-            key = (key + (t << 26)).astype(np.uint32)
-            row = np.unique(row[hot.holds(key)])
+            row = np.unique(row[hot.holds((key + (t << 26)).astype(np.uint32))])
             keys.append((mix((x.fp[row, t][:, None] ^ flips).ravel()) & ~U64(7)) | U64(t))
             rows.append(np.repeat(row, len(flips)))
-        return np.concatenate(keys), np.concatenate(rows)
+            fps.append(np.repeat(x.fp[row, t], len(flips)))
+        return np.concatenate(keys), np.concatenate(rows), np.concatenate(fps)
 
-    spread = max(parts, math.ceil(n * len(flips) * 14 / rounds.BUCKET_BYTES))
+    spread = max(parts, math.ceil(n * len(flips) * ENTRY / rounds.BUCKET_BYTES))
     # Words are equal but for 3 bits of their hash; what shares a key by chance is compared like the rest.
-    return links.unionByName(scratch.keep(dealt(nodes, rule, middles, lambda key: (key & U64(7)).astype(np.int64), spread)))
+    return links.unionByName(scratch.keep(dealt(nodes, rule, middles, spread)))
 
 
 def cluster(docs: DataFrame, size: int = 4, most: int = 4, dense: int = 65536) -> DataFrame:

@@ -74,8 +74,7 @@ def test_golay_keys_meet():
 def test_breadth_first_forest():
     r = np.random.default_rng(6)
     x = r.integers(0, 1 << 14, 300, dtype=np.uint64)
-    n = simhash.Nodes(x[:, None], np.zeros(300, np.uint64), np.arange(300))
-    a, b = simhash.spread_out(n, np.arange(300), 0, simhash.Rule(most=1))
+    a, b = simhash.spread_out({"fp": x}, np.arange(300), simhash.Rule(most=1))
     near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 1)
     assert (simhash.forest(300, a, b) == simhash.forest(300, near[:, 0], near[:, 1])).all()
 
