@@ -240,6 +240,48 @@ sh AS (SELECT pc.map_id, pc.label, avg(c.cv) AS share, count(*) AS n FROM pc JOI
 pf AS (SELECT pc.* FROM pc JOIN sh USING (map_id, label) WHERE n >= {C.peak_min_shoulder_samples} AND share >= {d(C.peak_shoulder_convex_ratio)} AND prominence > {d(C.peak_min_prominence_m)})"""
 
 
+# Peaks of maps without a good one, by PEAKS: box maxima away from the border, in groups of two at least.
+SPARE = f"""m1 AS (SELECT map_id, y, x, z, max(z) OVER (PARTITION BY map_id, y ORDER BY x ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS rt FROM pz),
+m2 AS (SELECT map_id, y, x, z, max(rt) OVER (PARTITION BY map_id, x ORDER BY y ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top FROM m1),
+box_top AS MATERIALIZED (SELECT map_id, y, x FROM m2 ANTI JOIN pf USING (map_id) WHERE z = top AND {_INSIDE}),
+{components('box_top', 'bt')},
+ba AS (SELECT bt.map_id, bt.label, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, avg(slope) AS avg_slope FROM bt JOIN lo2 USING (map_id, y, x) GROUP BY bt.map_id, bt.label HAVING count(*) >= {2 * C.min_peak_size_px}),
+tops AS MATERIALIZED (SELECT map_id, label, cx, cy, avg_slope, elev_max, prominence FROM pf
+  UNION ALL SELECT ba.map_id, ba.label, ba.cx, ba.cy, ba.avg_slope, c.z, c.relief FROM ba JOIN lo2 c ON c.map_id = ba.map_id AND c.x = ba.cx AND c.y = ba.cy WHERE c.relief > {d(C.peak_min_prominence_m)})"""
+
+
+def thinned(mask: str, out: str) -> str:
+    """CTEs of Zhang-Suen thinning of a mask, all its maps in step: (map_id, y, x).
+
+    A pixel sends a bit to each neighbour, 1 for the one south of it and so on clockwise, and 256 to itself.  Done after two
+    passes, one of either kind, that take nothing off.
+    """
+    b, turned = "(code & 255)", "(((code & 255) >> 1) | ((code & 1) << 7))"
+    return f"""{out}_to AS (SELECT * FROM (VALUES (1, 0, 1), (2, -1, 1), (4, -1, 0), (8, -1, -1), (16, 0, -1), (32, 1, -1), (64, 1, 0), (128, 1, 1), (256, 0, 0)) v(bit, dx, dy)),
+{out}_pass AS (SELECT 0 AS k, 0 AS idle, map_id, y, x FROM {mask}
+  UNION ALL SELECT k + 1, CASE WHEN busy THEN 0 ELSE idle + 1 END, map_id, y, x FROM (
+    SELECT *, bool_or(gone) OVER () AS busy FROM (
+      SELECT *, bit_count({b}) BETWEEN 2 AND 6 AND bit_count((255 - {b}) & {turned}) = 1 AND CASE WHEN k % 2 = 0 THEN code & 21 <> 21 AND code & 84 <> 84 ELSE code & 69 <> 69 AND code & 81 <> 81 END AS gone FROM (
+        SELECT k, idle, map_id, p.y + t.dy AS y, p.x + t.dx AS x, sum(t.bit)::INT AS code FROM {out}_pass p, {out}_to t WHERE idle < 2 GROUP BY k, idle, map_id, p.y + t.dy, p.x + t.dx) WHERE code >= 256)) WHERE NOT gone),
+{out} AS MATERIALIZED (SELECT map_id, y, x FROM {out}_pass WHERE k = (SELECT max(k) FROM {out}_pass))"""
+
+
+RIDGES = f"""crest AS MATERIALIZED (SELECT map_id, y, x, z FROM cl WHERE curvature_type IN ('CONVEX', 'CYLINDRICAL_CONVEX')),
+{components('crest', 'cr')},
+solid AS MATERIALIZED (SELECT map_id, y, x FROM cr QUALIFY count(*) OVER (PARTITION BY map_id, label) >= {C.min_ridge_length_px}),
+{thinned('solid', 'sk')},
+{components('sk', 'sn')},
+rf AS MATERIALIZED (SELECT sn.map_id, sn.label, floor(avg(x))::INT AS cx, floor(avg(y))::INT AS cy, max(z) AS elev_max FROM sn JOIN crest USING (map_id, y, x) GROUP BY sn.map_id, sn.label HAVING count(*) >= {C.min_ridge_length_px})"""
+
+#: Peaks and ridges of the whole analysis, as a table of known features for SIGHT; peaks are numbered before ridges, and both before the low ones go.
+SUMMITS = f"""np AS (SELECT map_id, count(*) AS n FROM tops GROUP BY map_id),
+numbers AS (SELECT map_id, 'peak' AS feature_type, row_number() OVER (PARTITION BY map_id ORDER BY label) - 1 AS seq, cx, cy, elev_max, avg_slope, prominence FROM tops
+  UNION ALL SELECT map_id, 'ridge', coalesce(n, 0) + row_number() OVER (PARTITION BY map_id ORDER BY label) - 1, cx, cy, elev_max, 15.0::DOUBLE, NULL FROM rf LEFT JOIN np USING (map_id)),
+truth AS MATERIALIZED (SELECT *, sha256(concat_ws('|', map_id, feature_type, cx, cy, seq)) AS feature_id FROM numbers WHERE elev_max >= {d(C.elevation_reference_m)}),
+{SIGHT},
+asked AS (SELECT * FROM truth t WHERE feature_type = 'peak' AND EXISTS (SELECT 1 FROM sg JOIN truth o ON o.map_id = sg.map_id AND o.feature_id = sg.dst WHERE o.feature_type = 'ridge' AND sg.map_id = t.map_id AND sg.src = t.feature_id))"""
+
+
 def synthetic(terms: list[str], h: int = 128, w: int = 128, tilt: float = 0.5) -> str:
     """Pixels of a synthetic map: the plane, and for each term a new height z in terms of z, wx and wy (metres from the centre)."""
     ctes = [f"s0 AS (SELECT y::INT AS y, x::INT AS x, (x - {w / 2}::DOUBLE) * {d(C.horizontal_scale)} AS wx, (y - {h / 2}::DOUBLE) * {d(C.horizontal_scale)} AS wy, {d(C.sea_level_offset)} + (x / {d(float(max(1, w - 1)))} * 2.0::DOUBLE - 1.0::DOUBLE) * {d(tilt)} AS z FROM range({h}) a(y), range({w}) b(x))"]

@@ -179,6 +179,35 @@ def test_the_query_that_asks_an_analysis(spark, terrain, monkeypatch):
     assert [(r.feature_id, r.cx, r.cy, r.prominence, r.brief, r.description) for r in out.collect()] == [(r.feature_id, r.cx, r.cy, round(r.prominence, 6), *texts[r.feature_id]) for r in want]
 
 
+def test_thinning_in_sql():
+    import duckdb
+
+    from ridgeline.plans import oracle
+
+    r = np.random.default_rng(6)
+    masks = [np.kron(r.random((9, 9)) < share, np.ones((3, 3))).astype(bool) for share in (0.2, 0.5, 0.8)] + [r.random((20, 20)) < 0.7]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE mask (map_id INT, y INT, x INT)")
+    db.executemany("INSERT INTO mask VALUES (?, ?, ?)", [(k, *p) for k, m in enumerate(masks) for p in np.argwhere(m).tolist()])
+    got = db.execute(f"WITH RECURSIVE {oracle.thinned('mask', 'sk')} SELECT map_id, y, x FROM sk").fetchall()
+    assert sorted(got) == sorted((k, *p) for k, m in enumerate(masks) for p in plain_thin(m))
+
+
+def test_the_whole_analysis_against_its_sql(spark, tmp_path):
+    import duckdb
+
+    from ridgeline import catalog
+
+    # 273's one peak is found by the second look alone, and it has no ridge; 2 has ridges and no peak.
+    hills = {273: [606, 16182, 10410, 19626, 15012], 262: [11831, 12545, 4615, 538, 698, 8220, 18427, 15016], 37: [13821, 4772, 1826, 1073, 16174], 161: [13353, 14611], 162: [1683, 1233], 1: [5], 2: [40, 7000]}
+    spark.createDataFrame([(k, m) for m, keys in hills.items() for k in keys], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = [tuple(r) for r in catalog.QUERIES["analyze_and_ask"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    want = db.execute(catalog.ORACLES["analyze_and_ask"]).fetchall()
+    assert want and got == want
+
+
 def test_values_that_are_not_finite(spark):
     z = np.ones((4, 5))
     z[1, 2] = np.nan
